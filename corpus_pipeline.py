@@ -3,18 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import simhash
+from tallyloom.llm import decontaminate, langid, linededup, mixing, simhash
 from tallyloom.llm.common import stored, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose language cannot be told: null, empty, or without letters."""
+    profiles = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.keep_identified(docs, profiles)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go from the texts, but for their first occurrence; n_chars follows. No document goes."""
+    cut = linededup.dedup_lines(docs)
+    length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold a benchmark item within its edit budget."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes words of, with size, source_size, target and taken."""
+    return mixing.Mixture(docs).taken_rows()
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", source_mixing),
+]
 
+#: Rank-order profiles, fingerprint groups and edit distances are not SQL; the stages are tested by brute force.
 ORACLE_SQL = None
 
 

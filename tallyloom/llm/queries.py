@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, langid, linededup, mixing, simhash
 from .common import table
 
 
@@ -16,9 +16,52 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP4_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL
+), keyed AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM lines
+), common AS (
+  SELECT key FROM keyed WHERE length(key) >= {linededup.MIN_CHARS}
+  GROUP BY key HAVING count(DISTINCT coalesce('s' || source, 'null')) >= {linededup.MIN_SITES}
+), marked AS (
+  SELECT k.*, c.key IS NOT NULL
+         AND row_number() OVER (PARTITION BY k.key ORDER BY k.doc_id, k.pos) > 1 AS lost
+  FROM keyed k LEFT JOIN common c ON k.key = c.key
+), joined AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '') AS text,
+         count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_removed
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, j.text, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs, profiles)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_line_dedup, op9_language, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
