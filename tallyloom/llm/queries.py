@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, mixing, simhash
+from . import chat, decontaminate, langid, linededup, mixing, pii, quality, simhash, syncmers, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -48,6 +53,27 @@ FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
 """
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compared(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxicity.fit(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    return toxicity.scored(docs, chain)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -60,7 +86,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_line_dedup, op9_language, op10_mixing)}
+    found = (
+        op1_simhash,
+        op2_decontamination,
+        op3_quality,
+        op4_line_dedup,
+        op5_chat_format,
+        op6_pii,
+        op7_syncmers,
+        op8_toxicity,
+        op9_language,
+        op10_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
