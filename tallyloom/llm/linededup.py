@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = pick(docs, doc_id=id_col, text=text_col, site=site_col).select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text", F.col("site").cast("string").alias("site"))
     lost = stored(lost_lines(slim, min_sites, min_chars).withColumnsRenamed({"rid": "__rid", "lost": "__lost"}), "lost-lines")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    found = docs.withColumn("__own", own).join(lost, F.col("__own") == F.col("__rid"), "left")
+    # Always a merge join, whose cost follows the input; a broadcast could only hold at small sizes.
+    found = docs.withColumn("__own", own).join(lost.hint("merge"), F.col("__own") == F.col("__rid"), "left")
     split = F.split(F.col(f"`{text_col}`"), "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__lost"))
     text = F.when(F.col("__lost").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(split, i)), "\n"))
