@@ -8,17 +8,20 @@ to a language is the sum, over the document's profile, of how far each n-gram is
 out of place in the language's profile, an absent one counting `profile`. The
 nearest language wins, ties going to the first by code point.
 
+An n-gram is one 64-bit key, 16 bits for each of its characters (characters
+beyond the basic plane share keys with others), so that a text's n-grams are
+counted by sorting one array.
+
 Scale. Language profiles are fitted on at most about `train_docs` labelled
 documents per language (kept by a hash of the row, at a rate set by the exact
 count per language); they are a few hundred rows per language and the only thing
-sent to executors. Prediction is a map over documents without any shuffle, one
-document in memory at a time.
+sent to executors. Prediction is a map over documents without any shuffle. Long
+texts are counted in chunks, so memory follows the distinct n-grams.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,77 +30,87 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, pick, rows
 
-ORDERS = (1, 2, 3, 4)
+ORDERS = 4
 PROFILE = 400
 TRAIN_DOCS = 4_000
 MAX_LANGUAGES = 5_000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
-
-
-class Grams:
-    """Counts of a text's n-grams; the n-grams of a word are worked out once."""
-
-    def __init__(self, most: int = 100_000):
-        self.most, self.known = most, {}
-
-    def of(self, word: str) -> list[str]:
-        if (found := self.known.get(word)) is None:
-            padded = f" {word} "
-            found = [padded[i : i + n] for n in ORDERS for i in range(len(padded) - n + 1)]
-            found = [g for g in found if g != " "]
-            if len(word) <= 40:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[word] = found
-        return found
-
-    def count(self, text: str | None, into: Counter | None = None) -> Counter:
-        out = Counter() if into is None else into
-        get = out.get
-        for word, n in Counter(m.group() for m in WORD.finditer((text or "").lower())).items():
-            for g in self.of(word):
-                out[g] = get(g, 0) + n
-        return out
-
-
-def ranked(counts: Counter, profile: int = PROFILE) -> tuple[list[str], list[int]]:
+NO_LETTERS = re.compile(r"[\W\d_]+")
+CHUNK = 1 << 18
+
+Counts = tuple[np.ndarray, np.ndarray]
+NONE: Counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def merged(parts: list[Counts]) -> Counts:
+    """One table of keys and counts from several, sorted by key."""
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def grams(text: str | None) -> Counts:
+    """The text's n-grams as keys, sorted, and how often each occurs."""
+    words = NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not words:
+        return NONE
+    blank, parts = np.uint64(32), []
+    for at in range(0, len(words) + 2, CHUNK):
+        # A chunk's n-grams are those that start in it; blanks stand at both ends of the text.
+        piece = f" {words} "[at : at + CHUNK + ORDERS - 1] if len(words) + 2 > CHUNK else f" {words} "
+        c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) & np.uint64(0xFFFF)
+        starts, found, inside, key = min(len(c), CHUNK), [], np.ones(len(c), bool), c
+        letter = c != blank
+        for n in range(1, ORDERS + 1):
+            if n > 1:
+                if len(key) < 2:
+                    break
+                # The last character of the shorter n-gram becomes an inner one, which no blank may be.
+                inside = inside[:-1] & letter[n - 2 : len(c) - 1] if n > 2 else inside[:-1]
+                key = (key[:-1] << np.uint64(16)) | c[n - 1 :]
+            keep = inside & letter if n == 1 else inside
+            found.append(key[:starts][keep[:starts]])
+        keys = np.sort(np.concatenate(found))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        parts.append((keys[first], np.diff(np.append(first, len(keys)))))
+    return parts[0] if len(parts) == 1 else merged(parts)
+
+
+def ranked(counts: Counts, profile: int = PROFILE) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of rank under `profile`, and their ranks."""
-    if not counts:
-        return [], []
-    freq = sorted(counts.values(), reverse=True)
-    least = freq[min(profile, len(freq)) - 1]
-    rank, at = {}, 0
-    for i, n in enumerate(freq):
-        if n < least:
-            break
-        if n != at:
-            rank[n], at = i, n
-    grams = [g for g, n in counts.items() if n >= least]
-    return grams, [rank[counts[g]] for g in grams]
+    keys, n = counts
+    if not len(keys):
+        return keys, n
+    rising = np.sort(n)
+    keep = n >= rising[-min(profile, len(n))]
+    return keys[keep], len(n) - np.searchsorted(rising, n[keep], "right")
 
 
 class Profiles:
-    """Language profiles as one matrix: a row per n-gram, a column per language."""
+    """Language profiles as one matrix: a row per n-gram, sorted by key, and a column per language."""
 
-    def __init__(self, ranks: Iterable[tuple[str, str, int]], profile: int = PROFILE):
+    def __init__(self, ranks: Iterable[tuple[str, int, int]], profile: int = PROFILE):
         ranks = list(ranks)
         self.profile, self.langs = profile, sorted({r[0] for r in ranks})
         column = {x: i for i, x in enumerate(self.langs)}
-        self.row = {g: i for i, g in enumerate(sorted({r[1] for r in ranks}))}
+        self.keys = np.unique(np.array([r[1] for r in ranks], np.int64).view(np.uint64))
         #: The last row stands for n-grams that no language has.
-        self.ranks = np.full((len(self.row) + 1, len(self.langs)), -1, np.int32)
+        self.ranks = np.full((len(self.keys) + 1, len(self.langs)), -1, np.int32)
         for lang, gram, rank in ranks:
-            self.ranks[self.row[gram], column[lang]] = rank
+            self.ranks[np.searchsorted(self.keys, np.array([gram], np.int64).view(np.uint64))[0], column[lang]] = rank
 
-    def predict(self, counts: Counter) -> tuple[str, float]:
-        grams, rank = ranked(counts, self.profile)
-        if not grams or not self.langs:
+    def predict(self, counts: Counts) -> tuple[str, float]:
+        keys, rank = ranked(counts, self.profile)
+        if not len(keys) or not self.langs:
             return UNKNOWN, 0.0
-        theirs = self.ranks[[self.row.get(g, -1) for g in grams]]
-        apart = np.where(theirs < 0, self.profile, np.abs(theirs - np.array(rank, np.int32)[:, None])).sum(axis=0)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        theirs = self.ranks[np.where(self.keys[at] == keys, at, len(self.keys))]
+        apart = np.where(theirs < 0, self.profile, np.abs(theirs - rank[:, None])).sum(axis=0)
         best = int(apart.argmin())
-        return self.langs[best], max(0.0, 1.0 - float(apart[best]) / (len(grams) * self.profile))
+        return self.langs[best], max(0.0, 1.0 - float(apart[best]) / (len(keys) * self.profile))
 
 
 def held_out(id_col: Column) -> Column:
@@ -122,20 +135,26 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", train_
     def count(batches):
         import pyarrow as pa
 
-        grams, held = Grams(), {}
-        schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+        schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+        held: dict[str, list[Counts]] = {}
 
         def flush():
-            yield from in_batches(schema, ((lang, g, n) for lang, c in held.items() for g, n in c.items()), 20_000)
+            for lang, parts in held.items():
+                keys, n = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], schema=schema)
             held.clear()
 
+        size = 0
         for lang, text in rows(batches, "lang", "text"):
-            grams.count(text, held.setdefault(lang, Counter()))
-            if sum(map(len, held.values())) > 300_000:
+            own = grams(text)
+            held.setdefault(lang, []).append(own)
+            size += len(own[0])
+            if size > 2_000_000:
                 yield from flush()
+                size = 0
         yield from flush()
 
-    counts = named.where(chance < rate[F.col("lang")]).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = named.where(chance < rate[F.col("lang")]).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n"))) - 1
     top = counts.select("lang", "gram", rank.alias("rank")).where(F.col("rank") < profile)
     return Profiles(((r["lang"], r["gram"], r["rank"]) for r in top.collect()), profile)
@@ -153,9 +172,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     def run(batches):
         import pyarrow as pa
 
-        grams, known = Grams(), sent.value
+        known = sent.value
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-        yield from in_batches(schema, ((d, *known.predict(grams.count(t))) for d, t in rows(batches, "doc_id", "text")), 20_000)
+        yield from in_batches(schema, ((d, *known.predict(grams(t))) for d, t in rows(batches, "doc_id", "text")), 20_000)
 
     return pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -170,12 +189,12 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text")
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        grams, known = Grams(), sent.value
+        known = sent.value
         for batch in batches:
             keep = []
             for t in batch.column(at).to_pylist():
-                counts = grams.count(t)
-                keep.append(bool(counts) and (not known.langs or known.predict(counts)[0] != UNKNOWN))
+                counts = grams(t)
+                keep.append(bool(len(counts[0])) and (not known.langs or known.predict(counts)[0] != UNKNOWN))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
