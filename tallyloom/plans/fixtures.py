@@ -1 +1,162 @@
-"""Queries over inline fixtures."""
+"""Queries over inline inputs: what the tables at hand have no column for.
+
+Each has a golden result, as SQL that lists it; the inputs are small on purpose
+and every row counts. Credential-like strings are put together here, so that none
+is written down.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import redact, text
+from ..sources.peek import peek_files
+from . import repository
+from .catalogue import query, table
+
+COMMANDS = (
+    "cd /srv && docker compose up -d; FOO=1 BAR=2 pytest tests/payment -x | tail -5",
+    "git add . && git add x && git commit -m 'x' || echo no",
+    "/usr/bin/python3 -m http.server; ls -la | sort | uniq -c",
+    "docker --context prod compose up",
+    "A=1",
+    "",
+    "make && make && terraform plan -out=x",
+)
+
+
+@query("""SELECT * FROM (VALUES (0, ['docker compose', 'pytest']), (1, ['git add', 'git commit']), (2, ['python3 http.server']), (3, ['docker prod']), (4, []::VARCHAR[]), (5, []::VARCHAR[]), (6, ['make', 'terraform plan'])) AS t(id, steps)""")
+def command_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(COMMANDS)), "id int, command string")
+    return rows.select("id", text.command_signatures(F.col("command")).alias("steps"))
+
+
+def tree(spark: SparkSession) -> DataFrame:
+    """A small repository as files(path, content, size, repository)."""
+    secret = "Hunter2" + "Pass"
+    files = {
+        "src/billing.py": f'"""Bills for orders. Uses postgres://admin:{secret}@db.internal/main."""\nimport os\nfrom src import store\n\nMAX_LINES = 40\nDB = os.getenv("DATABASE_URL")\n\n\nclass Bill:\n    """One bill."""\n\n    def total(self):\n        pass\n\n\ndef charge(order, amount):\n    """Charge an order."""\n',
+        "src/store.py": "# Keeps orders\nimport src.billing\n\n\ndef load(key):\n    return key\n",
+        "src/empty.py": "",
+        "tests/test_billing.py": "from src import billing\nimport src.billing\n\n\ndef test_total():\n    pass\n",
+        "web/app.js": "// Copyright 2020 Someone\n\n// Serves the shop\nimport x from './lib/cart'\nconst LIMIT_ROWS = 5;\nexport function start(port) {\n}\napp.get('/health', h);\nconst k = process.env.SHOP_KEY;\n",
+        "web/lib/cart.js": "/* The cart */\nexport const add = (item, n) => {\n}\n",
+        "api/routes.py": '"""Routes."""\nrouter = APIRouter(prefix="/v1")\n\n@router.get("/orders/{id}")\ndef one(id):\n    pass\n\n@app.route("/ping", methods=["GET", "POST"])\ndef ping():\n    pass\n',
+        "models/user.py": "class User(models.Model):\n    pass\n",
+        "migrations/001.sql": "-- Orders as placed\nCREATE TABLE orders (\n  id bigint,\n  total numeric\n) PARTITION BY RANGE (id);\nCREATE TABLE orders_1 PARTITION OF orders FOR VALUES FROM (1) TO (2);\nCREATE TABLE orders_2 PARTITION OF orders FOR VALUES FROM (2) TO (3);\nCREATE MATERIALIZED VIEW daily AS SELECT 1;\n",
+        "proto/fleet.proto": "service Fleet {\n  rpc Locate(Req) returns (Res);\n  rpc Stop (Req) returns (Res);\n}\n",
+        "openapi/shop.yaml": "openapi: 3.0.0\npaths:\n  /carts:\n    get: {}\n  /carts/{id}:\n    get: {}\ninfo: x\n",
+        ".env": f"export DATABASE_URL=postgres://u:{secret}@h/d\nAPI_TOKEN={secret}\nlower=1\n",
+        ".env.sample": "DATABASE_URL=\nEXTRA_NAME=\n",
+        "deploy/shop.yaml": "kind: Deployment\nmetadata:\n  name: shop\nspec:\n    image: registry.local/shop:1.2\n---\nkind: Service\nname: shop\n",
+        "deploy/secret.yaml": f"kind: Secret\nmetadata:\n  name: db-login\ndata:\n  password: {secret}\n",
+        ".github/workflows/ci.yml": "on: push\njobs:\n  test:\n",
+        "roles/web/tasks/main.yml": "- name: install\n",
+        "Dockerfile": "FROM scratch\n",
+        "secret.pem": "-----BEGIN " + "PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----\n",
+        "build/generated.py": "x = 1\n",
+        "vendored/inner.py": "# not ours\nx = 1\n",
+    } | {f"scans/page{n:02d}.png": "x" * n for n in range(1, 14)}
+    rows = [(p, bytearray(c.encode()), len(c.encode()), "vendored" if p.startswith("vendored/") else None) for p, c in files.items()]
+    return spark.createDataFrame(rows, "path string, content binary, size long, repository string")
+
+
+@query("""SELECT * FROM (VALUES
+ ('api/routes.py', 'py', 11, TRUE, 'Routes.', 2, 0), ('models/user.py', 'py', 3, TRUE, '', 0, 1), ('proto/fleet.proto', 'proto', 5, TRUE, '', 2, 1),
+ ('src/billing.py', 'py', 18, TRUE, 'Bills for orders', 1, 1), ('src/empty.py', 'py', 1, FALSE, '', 0, 0), ('src/store.py', 'py', 7, TRUE, 'Keeps orders', 1, 0),
+ ('tests/test_billing.py', 'py', 7, TRUE, '', 1, 0), ('web/app.js', 'js', 10, TRUE, 'Serves the shop', 1, 0), ('web/lib/cart.js', 'js', 4, TRUE, 'The cart', 1, 0)
+) AS t(path, lang, lines, describable, doc, n_funcs, n_classes)""")
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repository.sources(tree(spark))
+    return got.select("path", "lang", F.col("lines").cast("int").alias("lines"), "describable", "doc", F.size("funcs").alias("n_funcs"), F.size("classes").alias("n_classes"))
+
+
+@query("""SELECT * FROM (VALUES ('daily', 'migrations/001.sql', '', []::VARCHAR[]), ('orders', 'migrations/001.sql', 'Orders as placed (partitioned, 2 partitions)', ['id', 'total']), ('User', 'models/user.py', '', []::VARCHAR[])) AS t(name, source, summary, columns)""")
+def ddl_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.tables(tree(spark))
+
+
+@query("""SELECT * FROM (VALUES ('GET', '/v1/orders/{id}', 'api/routes.py'), ('GET', '/ping', 'api/routes.py'), ('POST', '/ping', 'api/routes.py'), ('GET', '/health', 'web/app.js'),
+ ('gRPC', 'Fleet/Locate', 'proto/fleet.proto'), ('gRPC', 'Fleet/Stop', 'proto/fleet.proto'), ('ANY', '/carts', 'openapi/shop.yaml'), ('ANY', '/carts/{id}', 'openapi/shop.yaml')) AS t(method, route, source)""")
+def route_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.routes(tree(spark))
+
+
+@query("""SELECT * FROM (VALUES ('API_TOKEN', '.env'), ('DATABASE_URL', '.env'), ('EXTRA_NAME', '.env.sample'), ('SHOP_KEY', 'web/app.js')) AS t(name, source)""")
+def env_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.settings(tree(spark))
+
+
+@query("""SELECT * FROM (VALUES ('ansible', '', 'roles/web/tasks/main.yml', 'roles/web/tasks/main.yml'), ('ci', '', '.github/workflows/ci.yml', '.github/workflows/ci.yml'), ('ci', '', 'Dockerfile', 'Dockerfile'),
+ ('images', '', 'registry.local/shop:1.2', 'deploy/shop.yaml'), ('k8s', 'Deployment', 'shop', 'deploy/shop.yaml'), ('k8s', 'Service', 'shop', 'deploy/shop.yaml'), ('k8s', 'Secret', 'db-login', 'deploy/secret.yaml')) AS t("group", kind, name, source)""")
+def deployment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.deployed(tree(spark))
+
+
+@query("""SELECT * FROM (VALUES ('scans', 13, 91, ['.png=13'])) AS t(top, count, bytes, kinds)""")
+def stored_material(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tree(spark)
+    claimed = repository.deployed(files).select(F.col("source").alias("path")).distinct()
+    got = repository.stored_material(files, repository.sources(files), claimed)
+    return got.select("top", F.col("count").cast("int").alias("count"), F.col("bytes").cast("int").alias("bytes"), "kinds")
+
+
+@query("""SELECT * FROM (VALUES ('src/billing.py', ['src/store.py'], ['tests/test_billing.py']), ('web/lib/cart.js', ['web/app.js'], []::VARCHAR[])) AS t(target, used_by, tests)""")
+def repo_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.impact(repository.sources(tree(spark)))
+
+
+@query()
+def repo_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.index_lines(tree(spark))
+
+
+@query()
+def peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text file and every event's properties as a JSON file."""
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("event"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").cast("binary").alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return peek_files(events.unionByName(docs))
+
+
+@query("""SELECT * FROM (VALUES ('id_rsa', TRUE, TRUE), ('id_rsa.pub', TRUE, TRUE), ('id_dsa', TRUE, TRUE), ('id_dsa_old', FALSE, TRUE), ('a/server.PEM', TRUE, TRUE), ('data.sqlite', TRUE, FALSE), ('credentials.json', TRUE, TRUE), ('secrets.yml', TRUE, TRUE), ('.netrc', TRUE, TRUE), ('notes.asc', FALSE, TRUE), ('main.py', FALSE, FALSE), ('keys.py', FALSE, FALSE)) AS t(path, blocked, never_opened)""")
+def blocked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("id_rsa", "id_rsa.pub", "id_dsa", "id_dsa_old", "a/server.PEM", "data.sqlite", "credentials.json", "secrets.yml", ".netrc", "notes.asc", "main.py", "keys.py")
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    return rows.select("path", redact.is_blocked(F.col("path")).alias("blocked"), redact.is_never_opened(F.col("path")).alias("never_opened"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id + CAST(round(value) AS BIGINT) DESC, event_id) AS k FROM events),
+w AS (SELECT CAST(isoyear(ts) AS BIGINT) AS iso_year, CAST(week(ts) AS BIGINT) AS iso_week, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS input, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS output FROM r WHERE k = 1 GROUP BY 1, 2)
+SELECT *, 0::BIGINT AS cache_read, 0::BIGINT AS cache_write, output::DOUBLE / calls AS output_per_call, 0::DOUBLE AS cache_read_per_call, 0::DOUBLE AS cache_write_per_call FROM w""")
+def usage_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly usage from transcripts: the events written as JSON lines and read back as such."""
+    from ..sources.transcripts import usage_records, weekly_usage
+
+    e = table(spark, sf_dir, "events")
+    line = F.to_json(
+        F.struct(
+            F.concat_ws("-", "user_id", "event_type").alias("requestId"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+            F.struct(F.concat("event_type", F.lit("-20240101")).alias("model"), F.struct(F.col("event_id").alias("input_tokens"), F.round("value").cast("long").alias("output_tokens")).alias("usage")).alias("message"),
+        )
+    )
+    return weekly_usage(usage_records(e.select(line.alias("value"), F.lit("x").alias("path"), F.col("event_id").alias("ord"))))
+
+
+@query()
+def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workflow detector over the events as a stream of steps, one repository per user."""
+    from ..streaming.watch import drained, watch_workflows
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    folder = f"{shared.rstrip('/')}/watch-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="watch-")
+    path = f"{sf_dir}/events.parquet"
+    # As a pattern, since a stream's plain path has to be a folder.
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    steps = events.select(F.col("user_id").cast("string").alias("repo"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.col("event_id").alias("ord"), F.array("event_type").alias("steps"))
+    return drained(watch_workflows(steps), folder)

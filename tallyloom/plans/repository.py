@@ -1 +1,284 @@
-"""Queries over inline fixtures."""
+"""The relations of a repository, built from a table of its files, and the documents rendered from them.
+
+Input is files(path, content) with optional size and repository columns, as the
+file_tree source gives them. Files are read and parsed once, in one map; what
+follows is joins and aggregations over the declarations found.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import extract, plain, redact, text
+from ..operators import graph, relational
+from ..sources.tree import MAX_BYTES, SKIPPED
+
+NAME = "struct<name:string,doc:string,methods:array<string>>"
+SOURCE = f"path string, lang string, chars long, tokens double, lines long, doc string, describable boolean, imports array<string>, funcs array<struct<sig:string,doc:string>>, classes array<{NAME}>, consts array<string>, warn_count int, warn_msg string"
+MAX_ROUTES, MAX_ENV, MAX_PER_KIND, MAX_PER_LIST, MAX_TABLES, MAX_CONSTS, MAX_METHODS = 60, 50, 14, 8, 40, 40, 30
+ASSET_DIRS = 12
+#: Folders that other scans leave out, all below the root.
+VENDORED = (".git", "node_modules", "vendor", "__pycache__", ".venv", "dist", "build")
+UNDEPLOYED = (".git", "node_modules", "__pycache__", ".venv", "vendor", ".terraform")
+UNSTORED = (".git", "node_modules", "__pycache__", ".venv", "vendor", ".terraform", "dist")
+# Build manifests, which are neither source nor stored material.
+BUILD_SUFFIXES = (".csproj", ".fsproj", ".vbproj", ".sln", ".props", ".targets", ".sbt", ".gradle", ".mod", ".sum", ".cabal", ".nimble", ".gemspec", ".podspec", ".cmake", ".bazel", ".bzl", ".lock")
+BUILD_NAMES = ("go.mod", "go.sum", "cargo.toml", "package.json", "pyproject.toml", "setup.cfg", "gemfile", "podfile", "config.ru", "rakefile", "makefile", "cmakelists.txt", "build.gradle", "settings.gradle", "pom.xml", "composer.json", "mix.exs", "pubspec.yaml", "build.zig", "meson.build", "build", "workspace")
+NAMES_ONLY = ("Secret", "SealedSecret")
+NOTABLE = (".csv", ".json", ".xml", ".parquet", ".avro", ".sql", ".log", ".md")
+
+
+def suffix_of(path: Column) -> Column:
+    """The lower-case ending of a file's name; a leading dot starts a name, not an ending."""
+    return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]*)$", 1))
+
+
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, "[^/]*$", 0)
+
+
+def inside(path: Column, folders: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, folders)))
+
+
+def language_of(path: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in extract.LANGUAGE.items() for x in pair])[suffix_of(path)]
+
+
+def own(files: DataFrame) -> DataFrame:
+    """Files of this repository itself: those of checkouts inside it are left out everywhere."""
+    return files.where("repository IS NULL") if "repository" in files.columns else files
+
+
+def _decoded(raw) -> str:
+    return bytes(raw or b"").decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+
+
+def sources(files: DataFrame) -> DataFrame:
+    """One row per source file (columns of SOURCE). A file that can't be parsed has a row without symbols."""
+    size = F.col("size") if "size" in files.columns else F.length("content")
+    chosen = own(files).withColumn("lang", language_of(F.col("path"))).where(F.col("lang").isNotNull() & ~inside(F.col("path"), SKIPPED) & ~redact.is_blocked(F.col("path")) & (size <= MAX_BYTES))
+
+    def one(path: str, lang: str, raw) -> tuple:
+        source = _decoded(raw)
+        try:
+            s = extract.symbols(source, lang)
+            described = bool(source.strip()) and not s["empty"]
+        except Exception:  # noqa: BLE001  one bad file costs one row's symbols
+            s, described = {"doc": "", "funcs": [], "classes": [], "consts": [], "warn_count": 0, "warn_msg": None}, False
+        return path, lang, len(source), plain.estimate(source), source.count("\n") + 1, s["doc"], described, extract.imports(source, lang), s["funcs"], s["classes"], s["consts"], s["warn_count"], s["warn_msg"]
+
+    def run(batches):
+        names = [f.split()[0] for f in ("path", "lang", "chars", "tokens", "lines", "doc", "describable", "imports", "funcs", "classes", "consts", "warn_count", "warn_msg")]
+        for pdf in batches:
+            rows = [one(*x) for x in zip(pdf["path"], pdf["lang"], pdf["content"], strict=True)]
+            out = pd.DataFrame(rows, columns=names)
+            out["funcs"] = [[{"sig": a, "doc": b} for a, b in x] for x in out["funcs"]]
+            out["classes"] = [[{"name": a, "doc": b, "methods": m} for a, b, m in x] for x in out["classes"]]
+            yield out
+
+    return chosen.select("path", "lang", "content").mapInPandas(run, SOURCE)
+
+
+def _found(files: DataFrame, condition: Column, each: Callable, schema: str) -> DataFrame:
+    """Rows that `each(path, text)` yields for the files that meet a condition."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in each(p, _decoded(c))], columns=names)
+
+    return own(files).where(condition & ~redact.is_blocked(F.col("path"))).select("path", "content").mapInPandas(run, schema)
+
+
+DECLARED = "name string, columns array<string>, kind string, rank int, n int, source string, summary string"
+
+
+def tables(files: DataFrame) -> DataFrame:
+    """(name, source, summary, columns) of every table, view and model, by lower-case name."""
+    path = F.col("path")
+    sql = suffix_of(path).isin(".sql", ".prisma") & ~inside(path, (".git", "node_modules", "vendor", "__pycache__"))
+    code = language_of(path).isNotNull() & ~inside(path, SKIPPED) & (inside(F.lower(path), extract.SCHEMA_FOLDERS) | F.lower(basename(path)).isin(*extract.SCHEMA_FILES))
+
+    def each(p: str, source: str):
+        suffix = "." + p.rpartition(".")[2].lower()
+        for n, (kind, name, summary, columns) in enumerate(extract.declarations(source, suffix)):
+            yield name, columns, kind, int(suffix not in (".sql", ".prisma")), n, p, summary
+
+    found = _found(files, sql | code, each, DECLARED).withColumn("key", F.lower("name"))
+    order = F.struct("rank", "source", "n")
+    merged = relational.fill_in(found.where("kind = 'table'").select("key", order.alias("ord"), "name", "source", "summary", "columns"), "key", "ord", "summary", "columns")
+    parts = found.where("kind = 'partition'").groupBy("key").agg(F.count("*").alias("parts"))
+    note = F.concat(F.lit("partitioned, "), F.col("parts").cast("string"), F.lit(" partitions"))
+    full = F.when(F.col("parts").isNull(), F.col("summary")).when(F.col("summary") == "", note).otherwise(F.concat(F.col("summary"), F.lit(" ("), note, F.lit(")")))
+    return merged.join(parts, "key", "left").select("name", "source", full.alias("summary"), "columns")
+
+
+def routes(files: DataFrame) -> DataFrame:
+    """(method, path, source): code first, then contracts, then API descriptions; the last one that names a route wins."""
+    path = F.col("path")
+    code = language_of(path).isin(*extract.ROUTE_LANGUAGES) & ~inside(path, SKIPPED)
+    contract = suffix_of(path).isin(".proto") & ~inside(path, VENDORED)
+    spec = suffix_of(path).isin(".yaml", ".yml", ".json") & ~inside(path, VENDORED)
+
+    def each(p: str, source: str):
+        suffix = "." + p.rpartition(".")[2].lower()
+        if suffix == ".proto":
+            found, rank = [("gRPC", f"{service}/{method}") for service, method in extract.rpcs(source)], 1
+        elif suffix in (".yaml", ".yml", ".json"):
+            found, rank = list(extract.spec_routes(p, source)) if extract.is_spec(p, source) else [], 2
+        else:
+            found, rank = list(extract.routes(source, extract.LANGUAGE[suffix])), 0
+        # Of contracts, the first file that declares a service is its source; elsewhere the last one wins.
+        yield from ((method, route, p, rank, n) for n, (method, route) in enumerate(found))
+
+    found = _found(files, code | contract | spec, each, "method string, route string, source string, rank int, n int")
+    http = relational.last_wins(found.where("rank <> 1").select("method", "route", "source", F.struct("rank", "source", "n").alias("ord")), ["method", "route"], "ord")
+    grpc = found.where("rank = 1").groupBy("method", "route").agg(F.min("source").alias("source"))
+    return http.select("method", "route", "source").unionByName(grpc)
+
+
+def settings(files: DataFrame) -> DataFrame:
+    """(name, source) of every setting: names only, the first file that has it, settings files before code."""
+    path = F.col("path")
+    name = basename(path)
+    env = ((name == ".env") | F.startswith(name, F.lit(".env.")) | F.endswith(name, F.lit(".env")) | (name == "env.example")) & ~inside(path, VENDORED)
+    code = language_of(path).isNotNull() & ~inside(path, SKIPPED)
+
+    def each(p: str, source: str):
+        is_env = extract.is_env_file(p.rpartition("/")[2])
+        yield from ((name, p, int(not is_env), n) for n, name in enumerate(extract.settings(source, is_env)))
+
+    found = _found(files, env | code, each, "name string, source string, rank int, n int")
+    return relational.first_wins(found.select("name", "source", F.struct("rank", "source", "n").alias("ord")), ["name"], "ord").select("name", "source")
+
+
+def deployed(files: DataFrame) -> DataFrame:
+    """(group, kind, name, source) of what the manifests deploy; a name once per group and kind, from its first file."""
+    path, name = F.col("path"), basename(F.col("path"))
+    manifest = suffix_of(path).isin(".yaml", ".yml") | name.isin("Dockerfile", "Jenkinsfile", "Makefile", "ansible.cfg") | F.startswith(name, F.lit("Dockerfile."))
+
+    def each(p: str, source: str):
+        yield from ((group, kind, name, p) for group, kind, name in extract.deployment(p, source))
+
+    found = _found(files, manifest & ~inside(path, UNDEPLOYED), each, "group string, kind string, name string, source string")
+    return found.groupBy("group", "kind", "name").agg(F.min("source").alias("source"))
+
+
+def stored_material(files: DataFrame, indexed: DataFrame, claimed: DataFrame) -> DataFrame:
+    """(top, count, bytes, kinds) of what is neither source nor deployment, by top folder; contents are never looked at."""
+    size = F.col("size") if "size" in files.columns else F.length("content")
+    path = F.col("path")
+    hidden = F.exists(F.split(F.regexp_extract(path, "^(.*)/[^/]*$", 1), "/"), lambda p: F.startswith(p, F.lit(".")))
+    chosen = own(files).where(~inside(path, UNSTORED) & ~hidden & language_of(path).isNull() & ~suffix_of(path).isin(*BUILD_SUFFIXES) & ~F.lower(basename(path)).isin(*BUILD_NAMES))
+    if "is_symlink" in files.columns:
+        chosen = chosen.where("NOT is_symlink")
+    known = indexed.select("path").unionByName(claimed.select("path")).distinct()
+    left = relational.not_indexed(chosen.select("path", size.alias("size")), known, "path")
+    top = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, "^([^/]*)/", 1)).otherwise("(root)")
+    kind = F.when(suffix_of(path) == "", "(none)").otherwise(suffix_of(path))
+    return relational.inventory(left.select(top.alias("top"), kind.alias("kind"), "size"), ["top"], "kind", "size")
+
+
+def impact(indexed: DataFrame) -> DataFrame:
+    """(target, used_by, tests) over the imports of source files."""
+    edges = graph.resolve(indexed.select("path"), indexed.select(F.col("path").alias("importer"), F.explode("imports").alias("name")))
+    return graph.reverse_edges(edges, graph.is_test(F.col("importer")))
+
+
+def _ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """A position for rows of a section that is bounded by its cap before this."""
+    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+
+
+def _row(section: str, pos: Column, line: Column) -> list[Column]:
+    return [F.lit(section).alias("section"), pos.cast("string").alias("pos"), redact.scrub(line).alias("line")]
+
+
+def _code(col: Column) -> Column:
+    return F.concat(F.lit("`"), col, F.lit("`"))
+
+
+def _listed(array: Column, most: int, full: Column | None = None) -> Column:
+    more = F.size(array) - most if full is None else full - most
+    return F.concat(F.array_join(F.transform(F.slice(array, 1, most), _code), ", "), F.when(more > 0, F.concat(F.lit(" _+"), more.cast("string"), F.lit("_"))).otherwise(""))
+
+
+def index_lines(files: DataFrame) -> DataFrame:
+    """(section, pos, line): every line of the repository's index and detail, credentials redacted.
+
+    Lines of a section sort by pos; sections are, in order, index, tables, routes,
+    settings, deployment, material, impact, detail. Sections without rows are absent.
+    """
+    src = sources(files).cache()
+    counts = F.concat_ws("/", F.when(F.size("funcs") > 0, F.concat(F.size("funcs").cast("string"), F.lit("fn"))), F.when(F.size("classes") > 0, F.concat(F.size("classes").cast("string"), F.lit("cls"))))
+    shape = F.concat(F.col("lines").cast("string"), F.lit("L"), F.when(counts != "", F.concat(F.lit(", "), counts)).otherwise(""))
+    summary = F.when(F.coalesce("doc", F.lit("")) == "", "—").otherwise(F.col("doc"))
+    index = src.select(*_row("index", F.col("path"), F.concat(F.lit("- **"), _code(F.col("path")), F.lit("** ("), shape, F.lit(") — "), summary)))
+
+    t = tables(files)
+    desc = F.when(F.col("summary") != "", F.concat(F.lit(" — "), F.col("summary"))).otherwise("")
+    table_rows = t.select(*_row("tables", F.lower("name"), F.concat(F.lit("- **"), _code(F.col("name")), F.lit("**"), desc, F.lit("  _("), F.col("source"), F.lit(")_"))))
+
+    grpc = F.when(F.col("method") == "gRPC", "2").otherwise("1")
+    kept = relational.top_per_group(routes(files).withColumn("protocol", grpc), ["protocol"], [F.col("route"), F.col("method")], MAX_ROUTES)
+    route_rows = kept.select(*_row("routes", F.concat("protocol", F.lpad(F.col("rank").cast("string"), 4, "0")), F.concat(F.lit("- `"), F.rpad("method", 6, " "), F.lit(" "), F.col("route"), F.lit("`  _("), F.col("source"), F.lit(")_"))))
+
+    env = settings(files).orderBy("name").limit(MAX_ENV)
+    env_rows = env.select(*_row("settings", F.col("name"), F.concat(F.lit("- "), _code(F.col("name")))))
+
+    d = deployed(files)
+    groups = d.groupBy("group", "kind").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    cap = lambda n: F.concat(F.lit("- **"), F.when(F.col("group") == "k8s", F.col("kind")).otherwise(F.col("group")), F.lit("** ("), F.size("names").cast("string"), F.lit(") — "), _listed(F.col("names"), n), F.when(F.col("kind").isin(*NAMES_ONLY), "  _(names only)_").otherwise(""))
+    place = F.when(F.col("group") == "k8s", F.concat(F.lit("1"), F.lpad((99999 - F.size("names")).cast("string"), 5, "0"), F.col("kind"))).otherwise(F.concat(F.lit("2"), F.col("group")))
+    deploy_rows = groups.select(*_row("deployment", place, F.when(F.col("group").isin("k8s", "compose"), cap(MAX_PER_KIND)).otherwise(cap(MAX_PER_LIST))))
+
+    stored = stored_material(files, src, d.select(F.col("source").alias("path")).distinct()).orderBy(F.desc("bytes"), "top").limit(ASSET_DIRS)
+    kinds = F.array_join(F.transform("kinds", lambda k: F.replace(k, F.lit("="), F.lit(" ×"))), ", ")
+    machine = F.filter(F.transform("kinds", lambda k: F.split_part(k, F.lit("="), F.lit(1))), lambda k: k.isin(*NOTABLE))
+    tail = F.when(F.size(machine) > 0, F.concat(F.lit("  _(machine-readable: "), F.array_join(machine, ", "), F.lit(")_"))).otherwise("")
+    size = text.human_bytes(F.col("bytes"), ("B", "KB", "MB", "GB", "TB"))
+    material_rows = _ranked(stored, F.desc("bytes"), F.col("top")).select(*_row("material", F.lpad(F.col("pos").cast("string"), 2, "0"), F.concat(F.lit("- **"), _code(F.concat("top", F.lit("/"))), F.lit("** — "), F.col("count").cast("string"), F.lit(" files, "), size, F.lit(" — "), kinds, tail)))
+
+    top = _ranked(graph.ranked(impact(src)), F.desc("n_used_by"), F.desc("n_tests"), F.col("target"))
+    used = F.when(F.col("n_used_by") > 0, F.concat(F.lit("used by "), _listed(F.col("used_by"), graph.MAX_USED_BY, F.col("n_used_by"))))
+    tested = F.when(F.col("n_tests") > 0, F.concat(F.lit("**tested by** "), _listed(F.col("tests"), graph.MAX_TESTS, F.col("n_tests"))))
+    impact_rows = top.select(*_row("impact", F.lpad(F.col("pos").cast("string"), 4, "0"), F.concat(F.lit("- **"), _code(F.col("target")), F.lit("** — "), F.concat_ws("; ", used, tested))))
+
+    said = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(" — "), c)).otherwise("")
+    methods = lambda c: F.when(F.size(c["methods"]) > 0, F.concat(F.lit("\n  - methods: "), F.array_join(F.slice(c["methods"], 1, MAX_METHODS), ", "))).otherwise("")
+    body = F.concat_ws(
+        "\n",
+        F.concat(F.lit("## "), _code(F.col("path"))),
+        F.when(F.coalesce("doc", F.lit("")) != "", F.col("doc")),
+        F.when(F.size("consts") > 0, F.concat(F.lit("**Constants:** "), F.array_join(F.slice("consts", 1, MAX_CONSTS), ", "))),
+        F.when(F.size("classes") > 0, F.array_join(F.transform("classes", lambda c: F.concat(F.lit("- **class "), c["name"], F.lit("**"), said(c["doc"]), methods(c))), "\n")),
+        F.when(F.size("funcs") > 0, F.array_join(F.transform("funcs", lambda f: F.concat(F.lit("- "), _code(f["sig"]), said(f["doc"]))), "\n")),
+    )
+    columns = F.when(F.size("columns") > 0, F.concat(F.lit("\ncolumns: "), F.array_join("columns", ", "))).otherwise("")
+    table_detail = t.select(*_row("detail", F.concat(F.lit("1"), F.lower("name")), F.concat(F.lit("### "), F.col("name"), F.when(F.col("summary") != "", F.concat(F.lit("\n"), F.col("summary"))).otherwise(""), columns, F.lit("\ndefined in "), _code(F.col("source")))))
+    file_detail = src.select(*_row("detail", F.concat(F.lit("2"), F.col("path")), body))
+
+    out = index
+    for part in (table_rows, route_rows, env_rows, deploy_rows, material_rows, impact_rows, table_detail, file_detail):
+        out = out.unionByName(part)
+    return out
+
+
+TITLES = {"index": "Quick Index", "tables": "Data model", "routes": "API surface", "settings": "Configuration", "deployment": "Deployment", "material": "Stored material (not source)", "impact": "Impact", "detail": "Full Detail"}
+
+
+def document(files: DataFrame, title: str) -> str:
+    """The whole index as one text, for one repository: what is asked for as a file is made on the driver."""
+    lines = {}
+    for r in index_lines(files).orderBy("pos").collect():
+        lines.setdefault(r["section"], []).append(r["line"])
+    parts = [f"# Architecture map — {title}"]
+    for section, heading in TITLES.items():
+        if section in lines:
+            parts.append(f"## {heading}\n\n" + "\n".join(lines[section]))
+    return "\n\n".join(parts) + "\n"
