@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import fresh, pick, stored
 
 MIN_SITES = 6
 MIN_CHARS = 16
@@ -77,17 +77,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     never go. Rows with the same id and text are treated alike; of a line that
     only they have first, each keeps its copy. An empty table gives no rows.
     """
-    own = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    own, rid, gone = fresh(docs, "__own", "__rid", "__lost")
     slim = pick(docs, doc_id=id_col, text=text_col, site=site_col).select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text", F.col("site").cast("string").alias("site"))
-    lost = stored(lost_lines(slim, min_sites, min_chars).withColumnsRenamed({"rid": "__rid", "lost": "__lost"}), "lost-lines")
+    lost = stored(lost_lines(slim, min_sites, min_chars).withColumnsRenamed({"rid": rid, "lost": gone}), "lost-lines")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # Always a merge join, whose cost follows the input; a broadcast could only hold at small sizes.
-    found = docs.withColumn("__own", own).join(lost.hint("merge"), F.col("__own") == F.col("__rid"), "left")
-    split = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__lost"))
-    text = F.when(F.col("__lost").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(split, i)), "\n"))
+    keyed = docs.withColumn(own, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    found = keyed.join(lost.hint("merge"), F.col(own) == F.col(rid), "left")
+    whole = F.col(f"`{text_col}`")
+    split = F.split(whole, "\n", -1)
+    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), whole).otherwise(F.array_join(F.transform(keep, lambda i: F.get(split, i)), "\n"))
     return found.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).cast("long").alias("n_removed"),
+        F.when(whole.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
     )

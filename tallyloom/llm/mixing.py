@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import fresh, pick, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -167,15 +167,16 @@ class Mixture:
         Columns of docs called like one of those four are replaced.
         """
         added = ("size", "source_size", "target", "taken")
-        per = self.documents().groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("copy", *added))).alias("__mix"))
-        i, t, s = self.columns
-        rid = F.xxhash64(F.col(f"`{i}`"), F.col(f"`{s}`").cast("string"), F.col(f"`{t}`"))
-        docs = self.docs.withColumn("__rid", rid)
-        docs = docs.withColumn("__copy", F.row_number().over(Window.partitionBy("__rid").orderBy("__rid")))
-        one = F.get(F.col("__mix"), F.col("__copy") - 1)
-        kept = [f"`{c}`" for c in self.docs.columns if c not in added]
-        joined = docs.join(per, F.col("__rid") == F.col("rid"))
-        return joined.select(*kept, *[one[c].alias(c) for c in added]).where("taken > 0")
+        rid, copy, found = fresh(self.docs, "__rid", "__copy", "__mix")
+        per = self.documents().groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("copy", *added))).alias(found)).withColumnRenamed("rid", f"{found}rid")
+        i, t, s = (F.col(f"`{c}`") for c in self.columns)
+        docs = self.docs.withColumn(rid, F.xxhash64(i, s.cast("string"), t))
+        docs = docs.withColumn(copy, F.row_number().over(Window.partitionBy(rid).orderBy(rid)))
+        one = F.get(F.col(found), F.col(copy) - 1)
+        kept = [F.col(f"`{c}`") for c in self.docs.columns if c not in added]
+        # Always a merge join, whose cost follows the input.
+        joined = docs.join(per.hint("merge"), F.col(rid) == F.col(f"{found}rid")).where(one["taken"] > 0)
+        return joined.select(*kept, *[one[c].alias(c) for c in added])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, pick, rows, stored
+from .common import fresh, in_batches, pick, rows, stored
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -256,5 +256,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     the smallest id itself, all stay: the id names one document.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = found.where("doc_id IS NOT NULL AND component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    (name,) = fresh(docs, "__gone")
+    gone = found.where("doc_id IS NOT NULL AND component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    # Always a merge join, whose cost follows the input; a broadcast could only hold at small sizes.
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

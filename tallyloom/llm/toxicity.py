@@ -79,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     kinds = ", ".join(f"c{i} double" for i in range(len(names)))
     pdf = texts.mapInArrow(example, f"doc_id long, {kinds}, index array<long>").toPandas()
     pdf = pdf.assign(turn=[(int(d) * 2654435761) % (1 << 32) for d in pdf["doc_id"]], n=[len(x) for x in pdf["index"]]).sort_values(["turn", "doc_id", "n"], kind="stable")
-    return Chain(names, [np.asarray(x) for x in pdf["index"]], pdf[[f"c{i}" for i in range(len(names))]].to_numpy(float), buckets, folds)
+    return Chain(names, [np.asarray(x, np.int64) for x in pdf["index"]], pdf[[f"c{i}" for i in range(len(names))]].to_numpy(float), buckets, folds)
 
 
 def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
