@@ -26,7 +26,7 @@ def text_trim(col: Column) -> Column:
 
 def section(found: Column, heading: str) -> Column:
     """The body of the last section of that name; empty without one."""
-    return F.coalesce(F.element_at(F.filter(found, lambda s: s["heading"] == heading), -1)["body"], F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(found, lambda s: s["heading"] == heading), F.lit(-1))["body"], F.lit(""))
 
 
 def cut_at_line(col: Column, most: int, note: Column) -> Column:

@@ -39,7 +39,7 @@ def tree(spark: SparkSession) -> DataFrame:
     """A small repository as files(path, content, size, repository)."""
     secret = "Hunter2" + "Pass"
     files = {
-        "src/billing.py": f'"""Bills for orders. Uses postgres://admin:{secret}@db.internal/main."""\nimport os\nfrom src import store\n\nMAX_LINES = 40\nDB = os.getenv("DATABASE_URL")\n\n\nclass Bill:\n    """One bill."""\n\n    def total(self):\n        pass\n\n\ndef charge(order, amount):\n    """Charge an order."""\n',
+        "src/billing.py": f'"""Bills for orders. Uses postgres://admin:{secret}@db.internal/main."""\nimport os\nfrom src import store\n\nMAX_LINES = 40\nDB = os.getenv("DATABASE_URL")\n\n\nclass Bill:\n    """One bill."""\n\n    def total(self):\n        pass\n\n\ndef charge(order, amount):\n    """Charge an order at postgres://admin:{secret}@db.internal/main"""\n',
         "src/store.py": "# Keeps orders\nimport src.billing\n\n\ndef load(key):\n    return key\n",
         "src/empty.py": "",
         "tests/test_billing.py": "from src import billing\nimport src.billing\n\n\ndef test_total():\n    pass\n",
