@@ -10,9 +10,9 @@ smallest hashes of both fingerprints together that both have, at a common
 displacement (positional matching): an estimate of the resemblance of the texts.
 
 Scale. Fingerprints are a map over documents. Neighbours by doc_id come from one
-range partitioning of the texts; each task streams its sorted rows holding two
-texts at a time, and only the last row of each partition, whose neighbour is in
-the next one, is joined with the first rows: two rows per partition.
+shuffle of the texts into ranges of ids; each range is closed by a copy of the
+next one's first row, and each task streams its sorted rows holding two texts at
+a time.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, pick, rows, stored
+from .common import in_batches, pick, rows
 
 K, S, SIZE = 12, 5, 64
 #: Texts under SHORT code points get anchors of small k-mers besides: they have too few of the others.
@@ -131,58 +131,61 @@ def edited(text: str, after: str) -> str:
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _dealt(slim: DataFrame) -> tuple[DataFrame, int]:
+    """slim(doc_id, text) with its range's number and, closing each range, a copy of the next range's first row (last = 1).
+
+    Ranges are cut at approximate quantiles of the ids, one per shuffle partition.
+    What reaches the driver is an id or two for each range.
+    """
+    spark = slim.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = slim.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    cut = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    ranged = slim.withColumn("range", F.size(F.filter(cut, lambda c: c <= F.col("doc_id"))))
+    first = sorted((r["range"], r["f"]["doc_id"]) for r in ranged.groupBy("range").agg(F.min(F.struct("doc_id")).alias("f")).collect())
+    if not first:
+        return ranged.withColumn("last", F.lit(0)), parts
+    ids = [d for _, d in first]
+    follow = [(r, ids[(i + 1) % len(ids)]) for i, (r, _) in enumerate(first)]
+    known = [d for d in ids if d is not None]
+    wanted = F.col("doc_id").isin(known) if known else F.lit(False)
+    wanted = (wanted | F.col("doc_id").isNull()) if None in ids else wanted
+    heads = slim.where(wanted).groupBy("doc_id").agg(F.min("text").alias("text"))
+    after = spark.createDataFrame(follow, "range int, head long")
+    closing = after.join(heads, F.col("head").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "range", F.lit(1).alias("last"))
+    return ranged.withColumn("last", F.lit(0)).unionByName(closing), parts
+
+
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Each row's fingerprint beside those of its edited text and of the next document by ascending id.
 
     The last document is followed by the first, a single one by itself. Null
-    ids come first; rows with equal ids are ordered by a hash of their texts, so
-    equal rows are neighbours. A null text counts as empty. No rows give none.
+    ids come first; rows with equal ids are ordered by their texts, so equal rows
+    are neighbours. A null text counts as empty. No rows give none.
     """
 
-    def told(doc_id, text, after, own, theirs):
+    def told(doc_id, text, own, after, theirs):
         changed = edited(text, after)
         fp = fingerprint(changed, size)
         return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, fp, likeness(own, fp, size), likeness(own, theirs, size)
 
     def stream(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        names = [x.split()[0] for x in FIELDS.split(", ")]
-        schema = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("body", pa.string()), *zip(names, kinds, strict=True)])
+        schema = pa.schema(list(zip([x.split()[0] for x in FIELDS.split(", ")], kinds, strict=True)))
 
         def items():
-            held = None
-            for doc_id, text in rows(batches, "doc_id", "text"):
-                text = text or ""
+            held = current = None
+            for number, last, doc_id, text in rows(batches, "range", "last", "doc_id", "text"):
                 own = fingerprint(text, size)
-                if held is None:
-                    yield (pid, 1, text, doc_id, None, None, own, None, None, None)
-                else:
-                    yield (pid, 0, None, *told(held[0], held[1], text, held[2], own))
-                held = doc_id, text, own
-            if held is not None:
-                yield (pid, 2, held[1], held[0], None, None, held[2], None, None, None)
+                if held and number == current:
+                    yield told(*held, text, own)
+                held, current = None if last else (doc_id, text, own), number
 
         yield from in_batches(schema, items())
 
-    order = ["doc_id", "h"]
-    slim = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    done = stored(slim.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(stream, f"pid int, kind int, body string, {FIELDS}"), "fingerprints")
-    names = [x.split()[0] for x in FIELDS.split(", ")]
-    spark = docs.sparkSession
-    pids = sorted(r["pid"] for r in done.where("kind = 1").select("pid").collect())
-    follow = spark.createDataFrame(list(zip(pids, pids[1:] + pids[:1], strict=True)), "pid int, next int")
-    tails = done.where("kind = 2").select("pid", "doc_id", F.col("body").alias("text"), F.col("fingerprint").alias("own"))
-    heads = done.where("kind = 1").select(F.col("pid").alias("next"), F.col("body").alias("after"), F.col("fingerprint").alias("theirs"))
-
-    def edge(batches):
-        import pyarrow as pa
-
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield from in_batches(pa.schema(list(zip(names, kinds, strict=True))), (told(*x) for x in rows(batches, "doc_id", "text", "after", "own", "theirs")))
-
-    last = tails.join(follow, "pid").join(heads, "next").select("doc_id", "text", "after", "own", "theirs").mapInArrow(edge, FIELDS)
-    return done.where("kind = 0").select(*names).unionByName(last)
+    slim = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt, parts = _dealt(slim)
+    order = ["range", "last", "doc_id", "text"]
+    return dealt.repartitionById(parts, F.col("range")).sortWithinPartitions(*order).mapInArrow(stream, FIELDS)
