@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))  # the contract's shingles of four words and 4 bits
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

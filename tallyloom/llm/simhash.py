@@ -1,34 +1,44 @@
-"""SimHash near-duplicates through a forest of vantage-point trees over Hamming space.
-
-A fingerprint is a 64-bit majority vote over the hashes of a text's word
-shingles. Two texts are linked when their fingerprints differ in at most
-`radius` bits, and linked texts form groups.
-
-Search. The 64 bits are cut into blocks. By the pigeonhole principle two
-fingerprints within the radius agree on every bit of at least one choice of
-`blocks - radius` blocks, so that choice's own Hamming distance between them is
-0. For each choice a vantage-point tree divides the fingerprints by their
-distance, on those bits, to a vantage point (inside: d <= r, outside: d > r).
-The triangle bound |d(x, v) - d(y, v)| <= d(x, y) = 0 proves that such a pair
-is on the same side at every node, so one leaf (a shard) holds both and every
-other branch is pruned. Vantage points are pseudo-random functions of the node,
-so the tree needs no fitted state, no sample and no broadcast, and a rerun of a
-lost task routes alike.
-
-Within a shard the pairs are found exactly by a second vantage-point tree, over
+"""SimHash near-duplicates through forests of vantage-point trees over Hamming space.
+
+A fingerprint is a majority vote, bit by bit, over the hashes of a text's word
+shingles: 64 bits, or more 64-bit words of them. Two texts are linked when their
+fingerprints differ in at most `radius` bits, and linked texts form groups.
+
+A tree divides the fingerprints by their Hamming distance, on the bits of the
+tree, to a vantage point (inside: d <= r, outside: d > r). The triangle bound
+|d(x, v) - d(y, v)| <= d(x, y) tells which branches can hold a partner: two
+fingerprints that agree on the tree's bits are on the same side at every node, so
+one leaf (a shard) holds both and every other branch is pruned. Vantage points and
+bits are pseudo-random functions of the node, so a tree needs no fitted state, no
+sample and no broadcast, and a rerun of a lost task routes alike.
+
+Within a shard the pairs are found exactly by another vantage-point tree, over
 the full distance, whose two sides are compared only along the boundary: inside
 points with d > r - radius against outside points with d <= r + radius.
 
-Scale. Each fingerprint goes to C(blocks, radius) shards; blocks grow with the
-count of distinct fingerprints so that shards stay small (5: 13 bits and 5
-shards; 8: 32 bits and 70). A shard with more than `tile` members (a near-copy
-group) is cut into tiles, and each pair of tiles is a task's unit, so no task
-holds more than two tiles. A unit reports a spanning forest of its links rather
-than all pairs, which keeps the groups whole and the output linear.
+Two forests:
+
+* `near_links`, exact. 64 bits are cut into blocks; by the pigeonhole principle two
+  fingerprints within the radius agree on at least one choice of
+  `blocks - radius` blocks, and there is a tree for each choice. Blocks grow with
+  the count of distinct fingerprints (5: 13 bits and 5 trees; 8: 32 bits and 70).
+* `wide_links`, for a radius that no choice of blocks survives, as a similarity of
+  0.8 needs (about 40 of 256 bits differ). A tree has `depth` random bits; so many
+  trees are grown that a pair at the very radius shares a shard of one of them
+  with a chance of `recall` (nearer pairs are all but certain to). A few trees go
+  first; what they join is told to the others, which report new joins only.
+
+Scale. Each distinct fingerprint goes to one shard of each tree: narrow rows, no
+texts. Depth grows with the count, so that shards stay small. A shard with more
+than `tile` members (a near-copy group) is cut into tiles, and each pair of tiles
+is a task's unit, so no task holds more than two tiles. A unit reports a
+spanning forest of its links rather than all pairs, which keeps the groups whole
+and the output linear.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,36 +55,49 @@ SEED = 42
 TILE = 32_768
 SHARD = 128
 LEAF = 512
+SMALL = 48
+#: A similarity of 0.8 on shingles of five words: at most 44 of 256 bits differ.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, RECALL, FIRST_TREES = 5, 4, 44, 0.95, 8
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit fingerprint of one text; null and wordless texts give 0."""
+def words_of(text: str | None, shingle: int = SHINGLE_WORDS, width: int = 1) -> np.ndarray:
+    """The fingerprint of one text as `width` 64-bit words; null and wordless texts give 0."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    n, ones = len(words) - shingle + 1, np.zeros(64, np.int64)
+        return np.zeros(width, np.uint64)
+    n, ones = max(1, len(words) - shingle + 1), np.zeros(64 * width, np.int64)
+    salt = np.arange(width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, 16_384):
         h = np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + 16_384))), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        # The first word votes on the hashes themselves, each further one on another mixture of them.
+        each = np.column_stack([h, *[_mix(h ^ s) for s in salt[1:]]])
+        ones += np.unpackbits(each.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
+    """Unsigned 64-bit fingerprint of one text."""
+    return int(words_of(text, shingle)[0])
+
+
+def _columns(width: int) -> list[str]:
+    return [f"w{i}" for i in range(width)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's bits as a signed long; one row per input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, width: int = 1) -> DataFrame:
+    """(doc_id, w0, ...) with the fingerprint's words as signed longs; one row per input row."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        yield from in_batches(schema, ((d, signed(fingerprint(t, shingle))) for d, t in rows(batches, "doc_id", "text")), 20_000)
+        schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in _columns(width)]])
+        yield from in_batches(schema, ((d, *words_of(t, shingle, width).view(np.int64).tolist()) for d, t in rows(batches, "doc_id", "text")), 20_000)
 
-    return pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
+    slim = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _columns(width)))
 
 
 def blocks_for(n: int, radius: int = RADIUS) -> int:
@@ -134,12 +157,20 @@ class _Forest:
         return True
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, by broadcasting; the last axis holds a fingerprint's words."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for k in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., k] ^ b[..., k])
+    return out
+
+
 def _cross(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, forest: _Forest) -> Iterator[tuple[int, int]]:
     """Links between two index sets, reduced to those that join trees of the forest."""
     for i in range(0, len(left), 1024):
         for j in range(0, len(right), 1024):
             a, b = left[i : i + 1024], right[j : j + 1024]
-            near = np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]) <= radius
+            near = _apart(fps[a][:, None], fps[b][None, :]) <= radius
             for x in np.flatnonzero(near.any(axis=1)).tolist():
                 cols = np.flatnonzero(near[x])
                 for t in b[cols].tolist():
@@ -155,15 +186,23 @@ def _cross(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fo
                     near[x + 1 :, cols] = False
 
 
-def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among fps (uint64, distinct), as pairs of positions."""
+def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links among fps (uint64; n, or n by words), as pairs of positions.
+
+    Positions of equal label count as linked already.
+    """
+    fps = fps.reshape(len(fps), -1)
     forest, todo = _Forest(len(fps)), [np.arange(len(fps))]
+    if labels is not None:
+        _, first, own = np.unique(labels, return_index=True, return_inverse=True)
+        for x, y in enumerate(first[own].tolist()):
+            forest.add(x, y)
     while todo:
         at = todo.pop()
         if len(at) <= leaf:
             yield from _cross(fps, at, at, radius, forest)
             continue
-        d = np.bitwise_count(fps[at] ^ fps[at[0]]).astype(np.int64)
+        d = _apart(fps[at], fps[at[0]])
         r = int(np.median(d))
         if not (d > r).any():
             r -= 1
@@ -175,87 +214,191 @@ def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> Iter
         todo += [inside, outside]
 
 
-def near_links(uniq: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) among distinct fingerprints uniq(fp) whose components equal those of all links."""
-    blocks = blocks_for(n, radius)
-    choices = masks(blocks, radius)
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
-
-    def shards(batches):
-        import pyarrow as pa
+def _in_small_groups(fps: np.ndarray, group: np.ndarray, labels: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """All links between different labels inside groups of SMALL members at most; groups lie together."""
+    for lag in range(1, SMALL):
+        x = np.flatnonzero((group[:-lag] == group[lag:]) & (labels[:-lag] != labels[lag:]))
+        if not len(x):
+            if not (group[:-lag] == group[lag:]).any():
+                return
+            continue
+        x = x[_apart(fps[x], fps[x + lag]) <= radius]
+        yield from zip(x.tolist(), (x + lag).tolist(), strict=True)
 
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for k, mask in enumerate(choices):
-                leaf = route(fps.view(np.uint64), mask, depth).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), k, np.int32)), pa.array(leaf), pa.array(fps)], ["tree", "leaf", "fp"])
 
-    routed = uniq.select("fp").mapInArrow(shards, "tree int, leaf long, fp long")
+def _search(routed: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
+    """Links (a, b) between labels, from routed(tree, leaf, label, w0, ...): in each shard, a spanning forest of what is within the radius."""
+    words = _columns(width)
     sizes = stored(routed.groupBy("tree", "leaf").count().where(F.col("count") > tile), "shard-sizes")
     if sizes.take(1):
         tiles = F.ceil(F.col("count") / F.lit(tile // 2)).cast("int")
-        own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
+        own = F.pmod(F.xxhash64(*words, F.lit(7)), F.col("tiles")).cast("int")
         cell = lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))
-        hot = sizes.select("tree", "leaf", tiles.alias("tiles"))
         routed = (
-            routed.join(hot, ["tree", "leaf"], "left")
+            routed.join(sizes.select("tree", "leaf", tiles.alias("tiles")), ["tree", "leaf"], "left")
             .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
             .withColumn("own", own)
             .withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), cell)))
-            .select("tree", "leaf", "cell.i", "cell.j", "fp")
+            .select("tree", "leaf", "cell.i", "cell.j", "label", *words)
         )
     else:
-        routed = routed.select("tree", "leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+        routed = routed.select("tree", "leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), "label", *words)
+    keys = ["tree", "leaf", "i", "j"]
 
     def search(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        def links(key: np.ndarray, labels: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+            """Of whole groups: small ones together, large ones each by its own tree."""
+            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            size = np.diff(np.append(start, len(key)))
+            group = np.repeat(np.arange(len(start)), size)
+            small = np.flatnonzero(np.repeat(size <= SMALL, size))
+            for x, y in _in_small_groups(fps[small], group[small], labels[small], radius):
+                yield int(labels[small[x]]), int(labels[small[y]])
+            for g in np.flatnonzero(size > SMALL).tolist():
+                at = slice(start[g], start[g] + size[g])
+                own = labels[at]
+                for x, y in local_links(fps[at], radius, labels=own):
+                    yield int(own[x]), int(own[y])
+
+        def joins(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+            """Without links between labels that this task has joined before; it remembers linked labels only."""
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := up.setdefault(x, x)) != x:
+                    up[x] = up[y]
+                    x = y
+                return x
+
+            for a, b in pairs:
+                x, y = find(a), find(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    yield a, b
+
+        def found():
+            held: list[tuple] = []
+            for batch in batches:
+                column = lambda c, b=batch: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
+                key, labels = np.column_stack([column(k) for k in keys]), column("label")
+                fps = np.column_stack([column(w) for w in words]).view(np.uint64)
+                if not len(key):
+                    continue
+                # The last group may go on in the next batch.
+                cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
+                part = [(key[:cut], labels[:cut], fps[:cut])] if cut else []
+                if held and (held[-1][0][-1] == key[0]).all() and not cut:
+                    held.append((key, labels, fps))
+                    continue
+                whole = [np.concatenate(x) for x in zip(*held, *part, strict=True)] if held or part else None
+                if whole:
+                    yield from links(*whole)
+                held = [(key[cut:], labels[cut:], fps[cut:])]
+            if held:
+                yield from links(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+        yield from in_batches(pa.schema([("a", pa.int64()), ("b", pa.int64())]), joins(found()), 20_000)
 
-        def units():
-            key, held = None, []
-            for *k, fp in rows(batches, "tree", "leaf", "i", "j", "fp"):
-                if k != key:
-                    if len(held) > 1:
-                        yield np.array(held, np.int64)
-                    key, held = k, []
-                held.append(fp)
-            if len(held) > 1:
-                yield np.array(held, np.int64)
+    return routed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long")
 
-        links = ((int(f[x]), int(f[y])) for f in units() for x, y in local_links(f.view(np.uint64), radius))
-        yield from in_batches(schema, links, 20_000)
 
-    keys = ["tree", "leaf", "i", "j"]
-    return routed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long")
+def _route(uniq: DataFrame, width: int, leaves) -> DataFrame:
+    """routed(tree, leaf, label, w0, ...) of uniq(label, w0, ...); leaves(fps) yields (tree, leaf of each fingerprint)."""
+    words = _columns(width)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            fps = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[1:]]).view(np.uint64)
+            for tree, leaf in leaves(fps):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), tree, np.int32)), pa.array(leaf), *columns], ["tree", "leaf", "label", *words])
+
+    return uniq.select("label", *words).mapInArrow(run, "tree int, leaf long, label long, " + ", ".join(f"{w} long" for w in words))
+
+
+def near_links(uniq: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) among the labels of distinct 64-bit fingerprints uniq(label, w0); their components are those of all links."""
+    choices = masks(blocks_for(n, radius), radius)
+    depth = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
+
+    def leaves(fps):
+        for k, mask in enumerate(choices):
+            yield k, route(fps[:, 0], mask, depth).view(np.int64)
+
+    return _search(_route(uniq, 1, leaves), radius, 1, tile)
+
+
+def wide_depth(n: int) -> int:
+    """Bits of a tree of the wide forest, so that a shard of n distinct fingerprints stays small."""
+    return max(14, math.ceil(math.log2(max(1, n) / 256)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs.
+def wide_trees(n: int, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS, recall: float = RECALL) -> int:
+    """Trees with which a pair at the radius shares a shard with a chance of `recall`."""
+    together = (1 - radius / (64 * width)) ** wide_depth(n)
+    return math.ceil(math.log(1 - recall) / math.log(1 - together))
+
+
+def wide_links(uniq: DataFrame, n: int, trees: range, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between the labels of distinct fingerprints uniq(label, w0, ...), as far as the given trees find them."""
+    depth = wide_depth(n)
+
+    def leaves(fps):
+        bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+        for tree in trees:
+            chosen = np.random.default_rng([SEED, tree]).permutation(64 * width)[:depth]
+            # One level for each bit: the vantage point's side of it is the inside.
+            yield tree, bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(depth, dtype=np.int64))
+
+    return _search(_route(uniq, width, leaves), radius, width, tile)
+
+
+def _labelled(uniq: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """uniq with the label of each row's component under the links."""
+    roots = stored(connected_components(links), "simhash-roots")
+    named = uniq.join(roots, F.col("label") == F.col("node"), "left")
+    return named.select(F.coalesce("root", "label").alias("label"), "rep", *_columns(width))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS, width: int = 1) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs; fp is the fingerprint's first word.
 
     component_id is the smallest doc_id reachable over links, the row's own
-    included. Null, empty and wordless texts have fingerprint 0 and are linked
-    to one another. Rows with a null doc_id take part and may get a null
-    component_id if nothing in their group has an id. Repeated rows are kept.
-    An empty table gives no rows.
+    included. With one word all links within the radius count, exactly; with more,
+    those that the wide forest finds. Null, empty and wordless texts have
+    fingerprint 0 and are linked to one another. Rows with a null doc_id take
+    part and may get a null component_id if nothing in their group has an id.
+    Repeated rows are kept. An empty table gives no rows.
     """
-    base = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    uniq = stored(base.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    links = near_links(uniq, uniq.count(), radius)
-    roots = stored(connected_components(links), "simhash-roots")
-    named = uniq.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = stored(named.join(smallest, "root").select("fp", "component_id"), "simhash-groups")
-    return base.join(groups, "fp").select("doc_id", "fp", "component_id")
+    words = _columns(width)
+    base = stored(fingerprints(docs, id_col, text_col, shingle, width), "simhash")
+    label = F.col("w0") if width == 1 else F.xxhash64(*words)
+    uniq = stored(base.groupBy(*words).agg(F.min("doc_id").alias("rep")).select(label.alias("label"), "rep", *words), "simhash-distinct")
+    n = uniq.count()
+    if width == 1:
+        named = _labelled(uniq, near_links(uniq, n, radius), 1)
+    else:
+        trees = wide_trees(n, radius, width)
+        first = min(FIRST_TREES, trees)
+        named = stored(_labelled(uniq, wide_links(uniq, n, range(first), radius, width), width), "simhash-first")
+        named = _labelled(named, wide_links(named, n, range(first, trees), radius, width), width)
+    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    groups = stored(named.join(smallest, "label").select(*words, "component_id"), "simhash-groups")
+    return base.join(groups, words).select("doc_id", F.col("w0").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS) -> DataFrame:
     """docs without the rows that have a near duplicate with a smaller id; columns are unchanged.
 
+    Near duplicates are those of a similarity of 0.8 or more unless told otherwise.
     Rows whose group has no id at all (null ids only) stay. Of rows that repeat
     the smallest id itself, all stay: the id names one document.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    found = near_duplicates(docs, id_col, text_col, shingle, radius, width)
     (name,) = fresh(docs, "__gone")
     gone = found.where("doc_id IS NOT NULL AND component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
     # Always a merge join, whose cost follows the input; a broadcast could only hold at small sizes.

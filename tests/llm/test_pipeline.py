@@ -28,7 +28,8 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     one = steps["near_dedup"](spark, cut, sf_dir)
     assert one.columns == COLUMNS
-    groups = brute([(d, simhash.fingerprint(t)) for d, t, _ in got])
+    wide = [(d, int.from_bytes(simhash.words_of(t, simhash.WIDE_SHINGLE, simhash.WIDE_WORDS).tobytes(), "little")) for d, t, _ in got]
+    groups = brute(wide, simhash.WIDE_RADIUS)
     assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, _, c in groups})
 
     clean = steps["decontamination"](spark, one, sf_dir)

@@ -65,7 +65,7 @@ def test_links_have_the_components_of_all_pairs(spark, tile):
         fps += near(rng, base, 150, 5)
     fps = sorted(set(fps))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), len(fps), tile=tile).collect()
+    links = simhash.near_links(spark.createDataFrame([(x, x) for x in signed], "label long, w0 long"), len(fps), tile=tile).collect()
     assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 4 for r in links)
     up = {x: x for x in signed}
 
@@ -122,6 +122,50 @@ def test_edge_cases_against_brute_force(edge):
     assert simhash.near_duplicates(edge).count() == len(EDGE)
 
 
+def resemblance(a, b, n=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def near_copies(rng, n, edits):
+    words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+    for _ in range(n):
+        own = list(words)
+        for _ in range(edits * len(words) // 200):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        yield " ".join(own)
+
+
+def test_similar_texts_are_grouped_and_others_left_alone(spark):
+    """Recall of pairs of a similarity of 0.8 or more against brute force, and no unlike texts together."""
+    rng = random.Random(11)
+    texts = [t for edits in (1, 2, 3, 4) for _ in range(25) for t in near_copies(rng, 4, edits)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), shingle=5, radius=simhash.WIDE_RADIUS, width=4).collect()}
+    pairs = [(a, b, resemblance(texts[a], texts[b])) for a in got for b in range(a - a % 4, a)]
+    alike = [(a, b) for a, b, j in pairs if j >= 0.8]
+    assert len(alike) > 60 and sum(got[a] == got[b] for a, b in alike) >= 0.95 * len(alike)
+    assert all(d // 4 == c // 4 for d, c in got.items())
+    unlike = [(a, b) for a, b, j in pairs if j < 0.5]
+    assert sum(got[a] == got[b] for a, b in unlike) <= 0.02 * len(unlike)
+
+
+def test_trees_are_enough_for_the_recall():
+    for n in (10, 10**6, 10**9):
+        together = (1 - simhash.WIDE_RADIUS / 256) ** simhash.wide_depth(n)
+        assert 1 - (1 - together) ** simhash.wide_trees(n) >= simhash.RECALL
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    rng = random.Random(12)
+    rows = [(i, t, "en", "a") for i, t in enumerate(near_copies(rng, 1500, 2))] + [(9000 + i, t, "en", "a") for i, t in enumerate(near_copies(rng, 1, 0))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), shingle=5, radius=simhash.WIDE_RADIUS, width=4).collect()}
+    assert sum(got[i] == 0 for i in range(1500)) >= 1490 and got[9000] == 9000
+
+
 def test_keep_one_keeps_columns_and_the_smallest_id(edge, empty):
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns
