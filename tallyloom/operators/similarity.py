@@ -11,18 +11,27 @@ SIMILAR = 0.55
 MIN_TOKENS = 8
 
 
+def classes(sets: DataFrame, key: str, tokens: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(key, g, t) of the rows with enough tokens: their sorted tokens, and the least key that has the same ones."""
+    rows = sets.select(F.col(key).alias("key"), F.array_sort(tokens).alias("t")).where(F.size("t") >= min_tokens)
+    return rows.join(rows.groupBy("t").agg(F.min("key").alias("g")), "t").select("key", "g", "t")
+
+
 def similar_pairs(sets: DataFrame, key: str, tokens: str, least: float = SIMILAR, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(a, b, similarity) of all rows a < b whose token sets have a Jaccard similarity of at least `least`.
+    """(a, b, similarity): a < b with a Jaccard similarity of at least `least` between their token sets.
+
+    Rows of equal sets are a class, told by its least key: the pairs of classes are
+    given once, between those keys, and each other member with its class's key at
+    a similarity of 1. No pair between different sets is lost, and a thousand
+    copies make a thousand rows.
 
     Exact, by prefix filtering: with every set sorted by how rare its tokens are,
     two sets that similar share a token among the first n - ceil(least * n) + 1 of
     each. Only those are joined, so frequent tokens, which come last, hardly ever
     meet; sizes that differ too much are dropped before the sets are compared.
-    Equal sets are compared once and expanded to their rows at the end.
     """
-    rows = sets.select(F.col(key).alias("key"), F.array_sort(tokens).alias("t")).where(F.size("t") >= min_tokens)
-    groups = rows.groupBy("t").agg(F.min("key").alias("g"))
-    member = rows.join(groups, "t").select("key", "g")
+    member = classes(sets, key, tokens, min_tokens)
+    groups = member.where("key = g").select("g", "t").distinct()
     n = F.size("t")
     each = groups.select("g", n.alias("n"), F.explode("t").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
@@ -30,14 +39,12 @@ def similar_pairs(sets: DataFrame, key: str, tokens: str, least: float = SIMILAR
     prefix = ranked.select("g", "n", F.explode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))).alias("token"))
     x, y = prefix.alias("x"), prefix.alias("y")
     close = (F.col("y.n") >= F.col("x.n") * F.lit(least) - 1e-9) & (F.col("x.n") >= F.col("y.n") * F.lit(least) - 1e-9)
-    candidates = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & close).select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
-    left, right = groups.select(F.col("g").alias("ga"), F.col("t").alias("ta")), groups.select(F.col("g").alias("gb"), F.col("t").alias("tb"))
+    candidates = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & close).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
+    left, right = groups.select(F.col("g").alias("a"), F.col("t").alias("ta")), groups.select(F.col("g").alias("b"), F.col("t").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    scored = candidates.join(left, "ga").join(right, "gb").withColumn("similarity", both / (F.size("ta") + F.size("tb") - both)).where(F.col("similarity") >= least)
-    linked = scored.select("ga", "gb", "similarity").unionByName(groups.select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(1.0).alias("similarity")))
-    a, b = member.select(F.col("key").alias("ka"), F.col("g").alias("ga")), member.select(F.col("key").alias("kb"), F.col("g").alias("gb"))
-    pairs = linked.join(a, "ga").join(b, "gb").where((F.col("ga") != F.col("gb")) | (F.col("ka") < F.col("kb")))
-    return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+    scored = candidates.join(left, "a").join(right, "b").withColumn("similarity", both / (F.size("ta") + F.size("tb") - both)).where(F.col("similarity") >= least)
+    copies = member.where("key <> g").select(F.col("g").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    return scored.select("a", "b", "similarity").unionByName(copies)
 
 
 def jaccard_sets(a: frozenset, b: frozenset) -> float:

@@ -381,11 +381,12 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.identifiers(F.col("text"))).alias("tokens"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, {TOKENS} AS t FROM documents), f AS (SELECT * FROM s WHERE len(t) >= 8),
-e AS (SELECT doc_id, unnest(t) AS w FROM f),
+@query(f"""WITH s AS (SELECT doc_id, list_sort({TOKENS}) AS t FROM documents), f AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS g FROM s WHERE len(t) >= 8),
+r AS (SELECT * FROM f WHERE doc_id = g), e AS (SELECT doc_id, unnest(t) AS w FROM r),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, n::DOUBLE / (len(fa.t) + len(fb.t) - n) AS similarity FROM p JOIN f fa ON fa.doc_id = a JOIN f fb ON fb.doc_id = b
-WHERE n::DOUBLE / (len(fa.t) + len(fb.t) - n) >= 0.55""")
+SELECT a, b, n::DOUBLE / (len(fa.t) + len(fb.t) - n) AS similarity FROM p JOIN r fa ON fa.doc_id = a JOIN r fb ON fb.doc_id = b
+WHERE n::DOUBLE / (len(fa.t) + len(fb.t) - n) >= 0.55
+UNION ALL SELECT g, doc_id, 1.0::DOUBLE FROM f WHERE doc_id <> g""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = table(spark, sf_dir, "documents").select("doc_id", text.identifiers(F.col("text")).alias("tokens"))
     return similarity.similar_pairs(sets, "doc_id", "tokens")
