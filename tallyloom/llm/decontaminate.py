@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, pick, rows
 
-ERROR_RATE = 0.06
+ERROR_RATE = 0.08
 MIN_CHARS = 20
 BLOCK_CHARS = 4_000_000
 WORD = re.compile(r"[^\W_]+")
