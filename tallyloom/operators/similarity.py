@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,29 @@ def jaccard_sets(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+class Families:
+    """Families in order of their founders; a set finds the first similar enough founder without looking at all of them.
+
+    Under one order of all tokens (longest first, since long ones are rare), similar
+    sets share a token among their first n - ceil(least * n) + 1 ones, so founders
+    are indexed by those.
+    """
+
+    def __init__(self, least: float = SIMILAR):
+        self.least, self.founders, self.by_token = least, [], {}
+
+    def join(self, at, tokens: frozenset, head: str) -> None:
+        ordered = sorted(tokens, key=lambda t: (-len(t), t))
+        prefix = ordered[: len(ordered) - math.ceil(self.least * len(ordered) - 1e-9) + 1]
+        for i in sorted({i for t in prefix for i in self.by_token.get(t, ())}):
+            if jaccard_sets(tokens, self.founders[i][3]) >= self.least:
+                self.founders[i][1] += 1
+                return
+        for t in prefix:
+            self.by_token.setdefault(t, []).append(len(self.founders))
+        self.founders.append([at, 1, head, tokens])
+
+
 def families(log: DataFrame, group: str, order: str, tokens: str, head: str, least: float = SIMILAR) -> DataFrame:
     """(group, founder, n, head): each entry, in order, joins the first family whose founder is similar enough, or founds one.
 
@@ -63,24 +87,19 @@ def families(log: DataFrame, group: str, order: str, tokens: str, head: str, lea
     def fold(batches) -> Iterator:
         import pandas as pd
 
-        current, held = None, []
+        current, held = None, Families(least)
 
         def done():
-            return pd.DataFrame([(current, f[0], f[1], f[2]) for f in held], columns=["group", "founder", "n", "head"])
+            return pd.DataFrame([(current, *f[:3]) for f in held.founders], columns=["group", "founder", "n", "head"])
 
         for pdf in batches:
             for g, at, t, h in zip(pdf["group"], pdf["at"], pdf["t"], pdf["head"], strict=True):
-                if held and g != current:
+                if held.founders and g != current:
                     yield done()
-                    held = []
-                current, own = g, frozenset(t)
-                for f in held:
-                    if jaccard_sets(own, f[3]) >= least:
-                        f[1] += 1
-                        break
-                else:
-                    held.append([at, 1, h, own])
-        if held:
+                    held = Families(least)
+                current = g
+                held.join(at, frozenset(t), h)
+        if held.founders:
             yield done()
 
     rows = log.select(F.col(group).alias("group"), F.col(order).alias("at"), F.col(tokens).alias("t"), F.col(head).alias("head"))

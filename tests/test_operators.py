@@ -95,6 +95,22 @@ def test_families_depend_on_their_founders(spark):
     assert sorted(tuple(r) for r in got) == [("g", 1, 3, "a"), ("g", 3, 1, "c"), ("h", 5, 1, "e")]
 
 
+def test_families_find_the_first_founder_as_a_scan_does():
+    rng = random.Random(4)
+    words = ["x" * n + str(i) for n in range(4, 9) for i in range(6)]
+    sets = [frozenset(rng.sample(words, rng.randint(3, 14))) for _ in range(400)] + [frozenset()]
+    found, plain = similarity.Families(), []
+    for i, own in enumerate(sets):
+        found.join(i, own, "")
+        for f in plain:
+            if similarity.jaccard_sets(own, f[2]) >= 0.55:
+                f[1] += 1
+                break
+        else:
+            plain.append([i, 1, own])
+    assert [(f[0], f[1]) for f in found.founders] == [(f[0], f[1]) for f in plain] and max(f[1] for f in plain) > 3
+
+
 def test_bulk_reads(spark):
     rows = [("a/yarn.lock", 10, False), ("a/x.min.js", 10, False), ("dist/a.py", 10, False), ("big.py", 200_000, False), ("huge.py", 1_000_000, False), ("big.py", 200_000, True), ("small.py", 199_999, False)]
     got = notices.bulk_read(spark.createDataFrame(rows, "p string, n long, r boolean"), "p", "n", F.col("r"))
