@@ -25,6 +25,12 @@ class Hasher:
             found = self.known[name] = zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.buckets
         return found
 
+    def starts(self, text: str | None, lengths: Sequence[int] = (4, 5)) -> np.ndarray:
+        """Buckets of the distinct words and of the beginnings of longer ones, which inflected forms share."""
+        found = set(WORD.findall((text or "").lower()))
+        found |= {f"^{w[:n]}" for n in lengths for w in found if len(w) > n}
+        return np.array(sorted({self.of(w) for w in found}), np.int64)
+
     def words(self, text: str | None) -> np.ndarray:
         return np.array(sorted({self.of(w) for w in set(WORD.findall((text or "").lower()))}), np.int64)
 

@@ -1,7 +1,9 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after another. Each category's linear model sees a
-document's hashed words and the probabilities of all earlier categories. In
+document's hashed words, the beginnings of longer ones, and the probabilities of
+all earlier categories. Weights are kept sparse, so that a few telling words are
+not drowned in a long text. In
 training those come from out-of-fold predictions: every example's probability is
 made by a model that has not seen it, so that a later model learns to trust an
 earlier one no more than it deserves. A model fitted on all examples serves.
@@ -23,6 +25,10 @@ from .linear import Hasher, Linear, best_threshold, sigmoid
 TRAIN_DOCS = 6_000
 BUCKETS = 1 << 18
 FOLDS = 5
+#: Strength of the penalty that sets weights to zero.
+SPARSITY = 4.0
+#: Words in more than this share of the examples get no weight: a long text has all of them.
+COMMON = 0.2
 
 
 class Chain:
@@ -30,6 +36,8 @@ class Chain:
 
     def __init__(self, names: list[str], index: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, folds: int = FOLDS):
         self.names, self.buckets, self.models, self.thresholds = names, buckets, [], []
+        seen = np.bincount(np.concatenate(index), minlength=buckets) if len(index) else np.zeros(buckets)
+        index = [i[seen[i] <= COMMON * len(index)] for i in index]
         fold = np.arange(len(index)) % folds
         earlier = np.zeros((len(index), 0))
         for j in range(len(names)):
@@ -37,10 +45,10 @@ class Chain:
             out = np.zeros(len(index))
             for f in range(folds):
                 learn, rest = np.flatnonzero((fold != f) & known), np.flatnonzero(fold == f)
-                model = Linear(buckets, earlier.shape[1]).fit([index[i] for i in learn], earlier[learn], y[learn, j])
+                model = Linear(buckets, earlier.shape[1]).fit([index[i] for i in learn], earlier[learn], y[learn, j], l1=SPARSITY)
                 out[rest] = [model.score(index[i], earlier[i]) for i in rest]
             every = np.flatnonzero(known)
-            self.models.append(Linear(buckets, earlier.shape[1]).fit([index[i] for i in every], earlier[every], y[every, j]))
+            self.models.append(Linear(buckets, earlier.shape[1]).fit([index[i] for i in every], earlier[every], y[every, j], l1=SPARSITY))
             self.thresholds.append(best_threshold(out[every], y[every, j]))
             earlier = np.column_stack([earlier, out])
         #: Out-of-fold probabilities of the examples, for measuring.
@@ -74,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
         hasher = Hasher(buckets)
         columns = ["doc_id", *[f"c{i}" for i in range(len(names))]]
         schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.float64()) for c in columns[1:]], ("index", pa.list_(pa.int64()))])
-        yield from in_batches(schema, ((*x[:-1], hasher.words(x[-1])) for x in rows(batches, *columns, "text")), 500)
+        yield from in_batches(schema, ((*x[:-1], hasher.starts(x[-1])) for x in rows(batches, *columns, "text")), 500)
 
     kinds = ", ".join(f"c{i} double" for i in range(len(names)))
     pdf = texts.mapInArrow(example, f"doc_id long, {kinds}, index array<long>").toPandas()
@@ -99,7 +107,7 @@ def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
         def items():
             for d, t in rows(batches, "doc_id", "text"):
-                p = model.predict(hasher.words(t))
+                p = model.predict(hasher.starts(t))
                 yield (d, *p, *[x >= least for x, least in zip(p, model.thresholds, strict=True)])
 
         yield from in_batches(schema, items(), 20_000)

@@ -72,7 +72,7 @@ def test_quality_held_against_labels(spark, sf_dir):
 def test_chain_feeds_earlier_categories_out_of_fold():
     rng = random.Random(5)
     hasher = linear.Hasher(1 << 12)
-    texts = [prose(rng, 25) + (" rude" if i % 2 else "") + (" vile" if i % 4 == 1 else "") for i in range(400)]
+    texts = [prose(rng, 25) + (f" rude{i % 3}" if i % 2 else "") + (f" vile{i % 3}" if i % 4 == 1 else "") for i in range(400)]
     x = [hasher.words(t) for t in texts]
     y = np.array([[float(i % 2), float(i % 4 == 1)] for i in range(400)])
     chain = toxicity.Chain(["rude", "vile"], x, y, 1 << 12)
@@ -82,7 +82,9 @@ def test_chain_feeds_earlier_categories_out_of_fold():
     assert ((p[:, 1] >= chain.thresholds[1]) == (y[:, 1] > 0)).mean() > 0.95
     # A fold's predictions come from a model that has not seen it.
     rest = [i for i in range(400) if i % toxicity.FOLDS != 0]
-    model = linear.Linear(1 << 12).fit([x[i] for i in rest], np.zeros((len(rest), 0)), y[rest, 0])
+    seen = np.bincount(np.concatenate(x), minlength=1 << 12)
+    x = [i[seen[i] <= toxicity.COMMON * len(x)] for i in x]
+    model = linear.Linear(1 << 12).fit([x[i] for i in rest], np.zeros((len(rest), 0)), y[rest, 0], l1=toxicity.SPARSITY)
     assert abs(model.score(x[0]) - chain.out_of_fold[0, 0]) < 1e-12
 
 
@@ -97,6 +99,17 @@ def test_toxicity_of_planted_words(spark):
     assert sum(got[i].is_toxic == (i % 6 == 0) for i in unseen) >= 195
 
 
+def test_toxicity_of_unseen_forms_and_long_texts(spark):
+    rng = random.Random(8)
+    form = lambda: "loathe" + "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = [(i, prose(rng, 40) + (f" {form()} {form()}" if i % 5 == 0 else ""), "en", "a") for i in range(500)]
+    rows += [(900, prose(rng, 20_000) + f" {form()} {form()}", "en", "a"), (901, prose(rng, 20_000), "en", "a")]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.is_toxic for r in toxicity.scored(docs, toxicity.fit(docs, labels, {"toxic": F.col("toxic") == 1})).collect()}
+    assert sum(got[i] == (i % 5 == 0) for i in range(400, 500)) >= 98 and got[900] and not got[901]
+
+
 def test_edge_cases(spark, edge, empty):
     q = quality.scored(edge, quality.fit(edge)).collect()
     assert len(q) == len(EDGE) and all(0 <= r.quality <= 1 for r in q)
