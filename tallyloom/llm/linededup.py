@@ -25,8 +25,8 @@ from .common import fresh, pick, stored
 MIN_SITES = 6
 MIN_CHARS = 16
 LG_K = 12
-#: Keys that may be broadcast: 16 bytes each in the worst case.
-BROADCAST_KEYS = 1_000_000
+#: Rows of a table of keys that may be broadcast, of at most 40 bytes each; beyond that it is joined by merging, where AQE splits hot keys.
+BROADCAST_KEYS = 500_000
 BLANKS = " \t\r"
 
 
@@ -41,12 +41,17 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """A table of one row per key, broadcast if it has few enough rows: then occurrences need no shuffle by line, hot or not."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Keys of lines(key, site) with a spread of at least min_sites: by sketch, or exactly where it is close."""
     spread = stored(lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("spread")), "line-spread")
     sure = spread.where(F.col("spread") >= 2 * min_sites).select("key")
     close = spread.where((F.col("spread") > min_sites / 2) & (F.col("spread") < 2 * min_sites)).select("key")
-    exact = lines.join(close, "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
+    exact = lines.join(_sent(close), "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
     return sure.unionByName(exact.select("key"))
 
 
@@ -55,13 +60,12 @@ def lost_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
     lines = _lines(docs, min_chars)
     wide = lines.groupBy("key").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo <> hi").select("key")
     wide = stored(wide, "wide-lines")
-    wide = F.broadcast(wide) if wide.count() <= BROADCAST_KEYS else wide
-    shared = stored(lines.join(wide, "key", "left_semi"), "shared-lines")
+    shared = stored(lines.join(_sent(wide), "key", "left_semi"), "shared-lines")
     common = stored(boilerplate(shared, min_sites), "boilerplate")
-    found = shared.join(common, "key")
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "at")).alias("first"))
+    found = shared.join(_sent(common), "key", "left_semi")
+    first = stored(found.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "at")).alias("first")), "first-lines")
     return (
-        found.join(first, "key")
+        shared.join(_sent(first), "key")
         .where("struct(doc_id, rid, at) <> first")
         .groupBy("rid")
         .agg(F.collect_set("at").alias("lost"))
