@@ -12,7 +12,8 @@ part, so shares are disjoint and add up to the quota exactly.
 Scale. Sizes are counted in one pass and kept as a narrow table; all later steps
 move (id, size) rows, never texts. A shard holds about `shard_words` words of all
 sources, so the largest source is spread over all shards and no task sorts more
-than a shard's blocks. Only one row per source reaches the driver. Draws are
+than a shard's blocks. Only one row per source reaches the driver (more than
+MAX_SOURCES are an error). Draws are
 seeded by source and tree node, so a rerun, or a retried task, agrees.
 """
 
@@ -31,8 +32,9 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 42
 BLOCK_WORDS = 256
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 16
 MAX_SHARDS = 1 << 16
+MAX_SOURCES = 1_000_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -109,7 +111,9 @@ class Mixture:
         once = sized.groupBy("rid", "doc_id", "source", "size").agg(F.count("*").cast("int").alias("copies"))
         #: (rid, copy, doc_id, source, size)
         self.base = stored(once.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"), "mix-base")
-        totals = {r["source"]: int(r["size"]) for r in self.base.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+        totals = {r["source"]: int(r["size"]) for r in self.base.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()}
+        if len(totals) > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources")
         goal = targets(totals, weights, most)
         plan = []
         for s, total in totals.items():
