@@ -335,7 +335,7 @@ def near_links(uniq: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE)
 def wide_depth(n: int) -> int:
     """Bits of a tree of the wide forest, so that a shard of n distinct fingerprints stays small.
 
-    Deeper trees make smaller shards but ask for more trees: 41 up to 67 million fingerprints, 209 for 30 billion.
+    Deeper trees make smaller shards but ask for more trees: 41 up to 67 million fingerprints, 228 for 30 billion.
     """
     return max(14, math.ceil(math.log2(max(1, n) / 4096)))
 
