@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import top_per_group
-
 # What the path of a test looks like.
 TEST_PATHS = (r"(^|/)tests?/", r"(^|/)spec/", r"(^|/)__tests__/", r"(^|/)test_[^/]+$", r"_test\.[a-z]+$", r"\.test\.[a-z]+$", r"\.spec\.[a-z]+$", r"Tests?\.[a-z]+$", r"Test\.java$")
 MAX_ENTRIES, MAX_USED_BY, MAX_TESTS = 120, 6, 3
@@ -97,6 +95,3 @@ def outside_nested(paths: DataFrame, owners: DataFrame) -> DataFrame:
     above = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("owner"))
     inside = above.join(owners.select("owner").distinct(), "owner", "left_semi").select("path").distinct()
     return paths.join(inside, "path", "left_anti")
-
-
-__all__ = ["candidates", "is_test", "normal_path", "outside_nested", "ranked", "resolve", "reverse_edges", "top_per_group"]

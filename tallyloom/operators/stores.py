@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import redact, text
-from .relational import latest, top_per_group
+from .relational import latest, recent, top_per_group
 
 CARRIED, MAX_CARRIED, MAX_RULES, MAX_TITLES, RECENT = ("Remaining", "Blockers"), 1200, 1500, 8, 2
 HEADING = r"(?md)(?=^##[ \t]+\S)"
@@ -51,8 +51,6 @@ def rules(entries: DataFrame, keys: list[str]) -> DataFrame:
 
     Entries that start beyond the cap are dropped before they are collected.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("name")
     flat = entries.where("category = 'rules'").withColumn("flat", text_trim(text.flatten_headings(F.col("text")))).where("flat <> ''")
     placed = flat.withColumn("before", F.coalesce(F.sum(F.char_length("flat") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -83,6 +81,4 @@ def milestones(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 def recent_milestones(found: DataFrame, keys: list[str], most: int = RECENT) -> DataFrame:
     """The newest `most` milestones of each key, newest first, and how many earlier ones there are."""
-    from .relational import recent
-
     return recent(found, keys, ["ord"], most)

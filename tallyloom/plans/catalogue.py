@@ -98,12 +98,9 @@ def per_model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(text.model_family(F.col("event_type")).alias("model")).agg(F.count("*").alias("calls"), F.sum(cents(F.col("value"))).alias("cents"))
 
 
-def _duck_class(java: str) -> str:
-    return java
-
-
-CJK, DENSE = _duck_class(text.CJK), _duck_class(text.DENSE)
-ESTIMATE = f"""(c * 1.00::DOUBLE + d * 0.84::DOUBLE + (n - c - d) / 2.4::DOUBLE)"""
+# RE2 reads these classes as Java does.
+CJK, DENSE = text.CJK, text.DENSE
+ESTIMATE = "(c * 1.00::DOUBLE + d * 0.84::DOUBLE + (n - c - d) / 2.4::DOUBLE)"
 COUNTED = f"""SELECT *, length(text) AS n, len(regexp_extract_all(text, '{CJK}')) AS c, len(regexp_extract_all(text, '{DENSE}')) AS d FROM documents"""
 
 
