@@ -92,10 +92,19 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return last_wins(df, keys, order)
 
 
+def rejoin(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with the columns of b that has the same keys; a null key is a key like any other."""
+    own = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return a.join(own, same).drop(*[f"__{k}" for k in keys])
+
+
 def recent(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
     """The newest `most` rows of each key, newest first, with how many earlier ones there are."""
     total = df.groupBy(*keys).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("earlier"))
-    return top_per_group(df, keys, [F.desc(o) for o in order], most).join(total, keys)
+    return rejoin(top_per_group(df, keys, [F.desc(o) for o in order], most), total, keys)
 
 
 def rollup(df: DataFrame, group: str, name: str, most: int = 8) -> DataFrame:
@@ -105,7 +114,7 @@ def rollup(df: DataFrame, group: str, name: str, most: int = 8) -> DataFrame:
     """
     first = top_per_group(df.select(group, name), [group], [F.col(name)], most)
     shown = first.groupBy(group).agg(F.sort_array(F.collect_list(name)).alias("names"))
-    return df.groupBy(group).agg(F.count("*").alias("n")).join(shown, group).select(group, "n", "names", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
+    return rejoin(df.groupBy(group).agg(F.count("*").alias("n")), shown, [group]).select(group, "n", "names", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
 
 
 def inventory(df: DataFrame, group: list[str], kind: str, size: str, least: int = 12, kinds: int = 6) -> DataFrame:
@@ -114,7 +123,7 @@ def inventory(df: DataFrame, group: list[str], kind: str, size: str, least: int
     total = per.groupBy(*group).agg(F.sum("n").alias("count"), F.sum("b").alias("bytes")).where(F.col("count") >= least)
     top = top_per_group(per, group, [F.desc("n"), F.col(kind)], kinds)
     listed = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("=", F.col(kind), F.col("n").cast("string")).alias("x"))))
-    return total.join(top.groupBy(*group).agg(F.transform(listed, lambda x: x["x"]).alias("kinds")), group)
+    return rejoin(total, top.groupBy(*group).agg(F.transform(listed, lambda x: x["x"]).alias("kinds")), group)
 
 
 def retained(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:

@@ -16,6 +16,13 @@ def test_keep_max_takes_the_first_of_equals(spark):
     assert relational.keep_max(df.limit(0), ["k"], "v", "o").count() == 0
 
 
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None, "b", 1), (None, "a", 2), ("g", "c", 3)], "g string, n string, s long")
+    assert sorted((r.g or "", r.n, r.names) for r in relational.rollup(df, "g", "n").collect()) == [("", 2, ["a", "b"]), ("g", 1, ["c"])]
+    assert {(r.g, r["count"], r.bytes) for r in relational.inventory(df, ["g"], "n", "s", least=1).collect()} == {(None, 2, 3), ("g", 1, 3)}
+    assert sorted((r.g or "", r.s, r.earlier) for r in relational.recent(df, ["g"], ["s"], 1).collect()) == [("", 2, 1), ("g", 3, 0)]
+
+
 def test_fill_in_keeps_older_columns(spark):
     rows = [("a", 1, "", ["x"]), ("a", 2, "", ["ignored"]), ("a", 3, "said", []), ("b", 4, "one", ["p"]), ("b", 5, "two", ["q"])]
     df = spark.createDataFrame(rows, "k string, o int, label string, cols array<string>")
