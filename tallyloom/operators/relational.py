@@ -119,10 +119,10 @@ def rollup(df: DataFrame, group: str, name: str, most: int = 8) -> DataFrame:
 
 def inventory(df: DataFrame, group: list[str], kind: str, size: str, least: int = 12, kinds: int = 6) -> DataFrame:
     """Groups of at least `least` members: count, bytes and the most frequent kinds, by name where counts tie."""
-    per = df.groupBy(*group, kind).agg(F.count("*").alias("n"), F.sum(size).alias("b"))
-    total = per.groupBy(*group).agg(F.sum("n").alias("count"), F.sum("b").alias("bytes")).where(F.col("count") >= least)
-    top = top_per_group(per, group, [F.desc("n"), F.col(kind)], kinds)
-    listed = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("=", F.col(kind), F.col("n").cast("string")).alias("x"))))
+    per = df.groupBy(*group, F.col(kind).alias("__kind")).agg(F.count("*").alias("__n"), F.sum(size).alias("__b"))
+    total = per.groupBy(*group).agg(F.sum("__n").alias("count"), F.sum("__b").alias("bytes")).where(F.col("count") >= least)
+    top = top_per_group(per, group, [F.desc("__n"), F.col("__kind")], kinds)
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("=", F.col("__kind"), F.col("__n").cast("string")).alias("x"))))
     return rejoin(total, top.groupBy(*group).agg(F.transform(listed, lambda x: x["x"]).alias("kinds")), group)
 
 
