@@ -22,6 +22,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parent.parent)
     yield session
     session.stop()
 
