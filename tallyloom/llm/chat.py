@@ -70,11 +70,11 @@ class Encoder:
         self.tok.post_processor = processors.ByteLevel(trim_offsets=False)
         self.tok.add_special_tokens([TURN, SAYS, END])
 
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids and the code points where each token starts and ends."""
         found = self.tok.encode(text, add_special_tokens=False)
         spans = np.array(found.offsets, np.int32).reshape(-1, 2)
-        return found.ids, spans[:, 0], spans[:, 1]
+        return np.array(found.ids, np.int32), spans[:, 0], spans[:, 1]
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, str]], loss_role: str = "assistant") -> np.ndarray:
@@ -86,15 +86,15 @@ def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int,
     return mask
 
 
-def masked_text(formatted: str, starts, ends, mask) -> str:
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
     """The text under the mask, unescaped: tokens that share a character count it once."""
-    out, reached = [], 0
-    for i in np.flatnonzero(mask).tolist():
-        a = max(int(starts[i]), reached)
-        if ends[i] > a:
-            out.append(formatted[a : ends[i]])
-            reached = int(ends[i])
-    return unescape("".join(out))
+    at = np.flatnonzero(mask)
+    if not len(at):
+        return ""
+    # A run is of masked tokens that follow one another and leave nothing out between them.
+    first = np.append(True, (np.diff(at) > 1) | (starts[at[1:]] > ends[at[:-1]]))
+    begin, end = starts[at[first]].tolist(), ends[at[np.append(first[1:], True)]].tolist()
+    return unescape("".join(formatted[a:b] for a, b in zip(begin, end, strict=True)))
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokenizer: str = TOKENIZER, loss_role: str = "assistant", segment_chars: int = SEGMENT_CHARS) -> DataFrame:
@@ -140,6 +140,17 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     return ordered.mapInArrow(run, out)
 
 
+def with_lists(batches) -> Iterator[tuple]:
+    """Rows of formatted conversations from Arrow batches, their lists as arrays."""
+    for batch in batches:
+        column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+        lists = []
+        for name in ("token_starts", "token_ends", "loss_mask"):
+            cuts, values = column(name).offsets.to_numpy(), column(name).values.to_numpy(zero_copy_only=False)
+            lists.append([values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        yield from zip(column("conv_id").to_pylist(), column("segment").to_pylist(), column("formatted").to_pylist(), *lists, strict=True)
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """One row per conversation, read back from the rows of format_conversations as they come."""
 
@@ -150,7 +161,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
         def items():
             conv = state = None
-            for c, segment, text, starts, ends, mask in rows(batches, "conv_id", "segment", "formatted", "token_starts", "token_ends", "loss_mask"):
+            for c, segment, text, starts, ends, mask in with_lists(batches):
                 if segment == 0:
                     if state:
                         yield (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
@@ -158,7 +169,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                 for role, said in parse(text):
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                under = masked_text(text, starts, ends, np.array(mask, np.int8))
+                under = masked_text(text, starts, ends, mask)
                 state[2] += len(under)
                 state[3].update(under.encode("utf-8", "surrogatepass"))
                 state[4] += len(text)
