@@ -54,7 +54,8 @@ def fits(col: Column, budget: float) -> Column:
 def token_cut(col: Column, budget: float) -> Column:
     """Code points of the text that fit a budget: weights are added one by one, from the left, in doubles.
 
-    No weight is under 1/2.4, so characters beyond 2.4 * budget + 2 can't matter, and the fold looks at no more.
+    No weight is under 1/2.4, so characters beyond 2.4 * budget + 2 can't matter, and the fold looks at no more. Texts
+    without dense scripts there all come to the same number, which the same sum gives once.
     """
     if budget <= 0:
         return F.when(col.isNotNull(), F.lit(0))
@@ -68,8 +69,12 @@ def token_cut(col: Column, budget: float) -> Column:
         over = acc["full"] | (total > budget)
         return F.struct(total.alias("sum"), F.when(over, acc["n"]).otherwise(acc["n"] + 1).alias("n"), over.alias("full"))
 
+    alike, total = 0, 1.0 / OTHER_PER_TOKEN
+    while total <= budget:
+        alike, total = alike + 1, total + 1.0 / OTHER_PER_TOKEN
     folded = F.aggregate(chars, start, step)
-    return F.when(folded["full"], folded["n"]).otherwise(F.char_length(col))
+    plain = ~F.left(col, F.lit(reach)).rlike(f"{CJK}|{DENSE}")
+    return F.when(plain, F.least(F.char_length(col), F.lit(alike))).when(folded["full"], folded["n"]).otherwise(F.char_length(col))
 
 
 def squeeze(col: Column) -> Column:

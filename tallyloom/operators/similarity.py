@@ -15,8 +15,9 @@ MIN_TOKENS = 8
 
 
 def classes(sets: DataFrame, key: str, tokens: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(key, g, t) of the rows with enough tokens: their sorted tokens, and the least key that has the same ones."""
-    rows = sets.select(F.col(key).alias("key"), F.array_sort(tokens).alias("t")).where(F.size("t") >= min_tokens)
+    """(key, g, t) of the rows with enough tokens: the sorted 64-bit hashes of their tokens, and the least key that has the same ones."""
+    hashed = F.array_sort(F.transform(tokens, lambda x: F.xxhash64(x)))
+    rows = sets.select(F.col(key).alias("key"), hashed.alias("t")).where(F.size("t") >= min_tokens)
     return rows.join(rows.groupBy("t").agg(F.min("key").alias("g")), "t").select("key", "g", "t")
 
 
