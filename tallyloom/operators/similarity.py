@@ -32,7 +32,8 @@ def similar_pairs(sets: DataFrame, key: str, tokens: str, least: float = SIMILAR
     Exact, by prefix filtering: with every set sorted by how rare its tokens are,
     two sets that similar share a token among the first n - ceil(least * n) + 1 of
     each. Only those are joined, so frequent tokens, which come last, hardly ever
-    meet; sizes that differ too much are dropped before the sets are compared.
+    meet; sizes that differ too much, and tokens too far on to leave enough to
+    share, are dropped before the sets are compared.
     """
     member = classes(sets, key, tokens, min_tokens)
     groups = member.where("key = g").select("g", "t").distinct()
@@ -40,10 +41,12 @@ def similar_pairs(sets: DataFrame, key: str, tokens: str, least: float = SIMILAR
     each = groups.select("g", n.alias("n"), F.explode("t").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, "token").groupBy("g", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("by_rarity"))
-    prefix = ranked.select("g", "n", F.explode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))).alias("token"))
+    prefix = ranked.select("g", "n", F.posexplode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))).alias("i", "token"))
     x, y = prefix.alias("x"), prefix.alias("y")
     close = (F.col("y.n") >= F.col("x.n") * F.lit(least) - 1e-9) & (F.col("x.n") >= F.col("y.n") * F.lit(least) - 1e-9)
-    candidates = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & close).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
+    # What two sets can share from their first common token on has to reach what the similarity asks for.
+    rest = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= (F.col("x.n") + F.col("y.n")) * F.lit(least / (1 + least)) - 1e-9
+    candidates = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & close & rest).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
     left, right = groups.select(F.col("g").alias("a"), F.col("t").alias("ta")), groups.select(F.col("g").alias("b"), F.col("t").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     scored = candidates.join(left, "a").join(right, "b").withColumn("similarity", both / (F.size("ta") + F.size("tb") - both)).where(F.col("similarity") >= least)
