@@ -28,6 +28,12 @@ Two forests:
   with a chance of `recall` (nearer pairs are all but certain to). A few trees go
   first; what they join is told to the others, which report new joins only.
 
+Where a similarity is asked for (`similar_groups`), links of the wide forest are
+candidates only: a pair counts once the exact resemblance of its two sets of
+shingles is high enough. A spanning forest then says no more than which texts have
+a candidate at all; their sets are fetched, groups grow by verified links, and at
+the end every candidate pair between two different groups is verified.
+
 Scale. Each distinct fingerprint goes to one shard of each tree: narrow rows, no
 texts. Depth grows with the count, so that shards stay small. A shard with more
 than `tile` members (a near-copy group) is cut into tiles, and each pair of tiles
@@ -59,6 +65,11 @@ SMALL = 48
 #: Shingles of five words and a similarity of 0.8: such a pair differs in 39 of 256 bits on average, give or take 6, and most
 #: differ in 48 at most; unlike texts differ in about 128.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, RECALL, FIRST_TREES = 5, 4, 48, 0.95, 8
+#: Two texts are near duplicates from this share of common distinct shingles on. Candidates differ in CANDIDATE_RADIUS bits at most
+#: (sets of few shingles need more than others), and trees are counted for pairs that differ in CANDIDATE_REACH (39 plus three times 6).
+SIMILARITY, CANDIDATE_RADIUS, CANDIDATE_REACH = 0.8, 64, 57
+#: Rounds of spanning links before all candidate pairs between groups are verified, and rows of ids that may be broadcast.
+ROUNDS, BROADCAST_KEYS = 2, 500_000
 
 
 def words_of(text: str | None, shingle: int = SHINGLE_WORDS, width: int = 1) -> np.ndarray:
@@ -66,16 +77,23 @@ def words_of(text: str | None, shingle: int = SHINGLE_WORDS, width: int = 1) ->
 
     One word counts repeated shingles as often as they are there; more words count each once, as a resemblance of sets does.
     """
+    hashes = shingles_of(text, shingle)
+    return _votes(np.unique(hashes) if width > 1 else hashes, width)
+
+
+def shingles_of(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle in turn; a text of fewer words is one shingle, a wordless one has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(width, np.uint64)
-    n = max(1, len(words) - shingle + 1)
+    n = max(1, len(words) - shingle + 1) if words else 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
-    if width > 1:
-        hashes = np.unique(hashes)
+    return np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+
+
+def _votes(hashes: np.ndarray, width: int) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(width, np.uint64)
     n, ones = len(hashes), np.zeros(64 * width, np.int64)
     salt = np.arange(width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, n, 16_384):
@@ -194,21 +212,34 @@ def _cross(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fo
                     near[x + 1 :, cols] = False
 
 
-def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def _all_cross(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, labels: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All links between two index sets whose labels differ."""
+    for i in range(0, len(left), 1024):
+        for j in range(0, len(right), 1024):
+            a, b = left[i : i + 1024], right[j : j + 1024]
+            apart = labels[a][:, None] != labels[b][None, :]
+            if apart.any():
+                x, y = np.nonzero(apart & (_apart(fps[a][:, None], fps[b][None, :]) <= radius))
+                yield from zip(a[x].tolist(), b[y].tolist(), strict=True)
+
+
+def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, labels: np.ndarray | None = None, every: bool = False) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among fps (uint64; n, or n by words), as pairs of positions.
 
-    Positions of equal label count as linked already.
+    Positions of equal label count as linked already. With `every`, all links
+    between different labels instead.
     """
     fps = fps.reshape(len(fps), -1)
     forest, todo = _Forest(len(fps)), [np.arange(len(fps))]
-    if labels is not None:
+    cross = (lambda a, b: _all_cross(fps, a, b, radius, labels)) if every else (lambda a, b: _cross(fps, a, b, radius, forest))
+    if labels is not None and not every:
         _, first, own = np.unique(labels, return_index=True, return_inverse=True)
         for x, y in enumerate(first[own].tolist()):
             forest.add(x, y)
     while todo:
         at = todo.pop()
         if len(at) <= leaf:
-            yield from _cross(fps, at, at, radius, forest)
+            yield from cross(at, at)
             continue
         d = _apart(fps[at], fps[at[0]])
         r = int(np.median(d))
@@ -216,9 +247,9 @@ def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, labels:
             r -= 1
         inside, outside = at[d <= r], at[d > r]
         if not len(inside) or not len(outside):
-            yield from _cross(fps, at, at, radius, forest)
+            yield from cross(at, at)
             continue
-        yield from _cross(fps, at[(d <= r) & (d > r - radius)], at[(d > r) & (d <= r + radius)], radius, forest)
+        yield from cross(at[(d <= r) & (d > r - radius)], at[(d > r) & (d <= r + radius)])
         todo += [inside, outside]
 
 
@@ -234,9 +265,14 @@ def _in_small_groups(fps: np.ndarray, group: np.ndarray, labels: np.ndarray, rad
         yield from zip(x.tolist(), (x + lag).tolist(), strict=True)
 
 
-def _search(routed: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
-    """Links (a, b) between labels, from routed(tree, leaf, label, w0, ...): in each shard, a spanning forest of what is within the radius."""
+def _search(routed: DataFrame, radius: int, width: int, tile: int, every: bool = False, turn: int = 0) -> DataFrame:
+    """Links (a, b) between labels, from routed(tree, leaf, label, w0, ...): in each shard, a spanning forest of what is within the radius.
+
+    If routed has a column node, links are between nodes of different labels, and with `every` they are all of those.
+    Each turn of 1 or more takes the members of a large shard in another order, and so spans it by other links.
+    """
     words = _columns(width)
+    named = ["label", "node"] if "node" in routed.columns else ["label"]
     sizes = stored(routed.groupBy("tree", "leaf").count().where(F.col("count") > tile), "shard-sizes")
     if sizes.take(1):
         tiles = F.ceil(F.col("count") / F.lit(tile // 2)).cast("int")
@@ -247,30 +283,35 @@ def _search(routed: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
             .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
             .withColumn("own", own)
             .withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), cell)))
-            .select("tree", "leaf", "cell.i", "cell.j", "label", *words)
+            .select("tree", "leaf", "cell.i", "cell.j", *named, *words)
         )
     else:
-        routed = routed.select("tree", "leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), "label", *words)
+        routed = routed.select("tree", "leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), *named, *words)
     keys = ["tree", "leaf", "i", "j"]
 
     def search(batches):
         import pyarrow as pa
 
-        def links(key: np.ndarray, labels: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
-            """Of whole groups: small ones together, large ones each by its own tree."""
+        def links(key: np.ndarray, labels: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+            """Labels and nodes of links of whole groups: small ones together, large ones each by its own tree."""
             start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             size = np.diff(np.append(start, len(key)))
             group = np.repeat(np.arange(len(start)), size)
             small = np.flatnonzero(np.repeat(size <= SMALL, size))
             for x, y in _in_small_groups(fps[small], group[small], labels[small], radius):
-                yield int(labels[small[x]]), int(labels[small[y]])
+                x, y = small[x], small[y]
+                yield int(labels[x]), int(labels[y]), int(nodes[x]), int(nodes[y])
             for g in np.flatnonzero(size > SMALL).tolist():
-                at = slice(start[g], start[g] + size[g])
+                at = np.arange(start[g], start[g] + size[g])
+                if turn:
+                    at = np.random.default_rng([SEED, turn]).permutation(at)
                 own = labels[at]
-                for x, y in local_links(fps[at], radius, labels=own):
-                    yield int(own[x]), int(own[y])
+                if (own == own[0]).all():
+                    continue
+                for x, y in local_links(fps[at], radius, labels=own, every=every):
+                    yield int(own[x]), int(own[y]), int(nodes[at[x]]), int(nodes[at[y]])
 
-        def joins(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        def joins(pairs: Iterator[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
             """Without links between labels that this task has joined before; it remembers linked labels only."""
             up: dict[int, int] = {}
 
@@ -280,30 +321,33 @@ def _search(routed: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
                     x = y
                 return x
 
-            for a, b in pairs:
+            for a, b, p, q in pairs:
+                if every:
+                    yield p, q
+                    continue
                 x, y = find(a), find(b)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-                    yield a, b
+                    yield p, q
 
         def found():
             held: list[tuple] = []
             for batch in batches:
                 column = lambda c, b=batch: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
-                key, labels = np.column_stack([column(k) for k in keys]), column("label")
+                key, labels, nodes = np.column_stack([column(k) for k in keys]), column("label"), column(named[-1])
                 fps = np.column_stack([column(w) for w in words]).view(np.uint64)
                 if not len(key):
                     continue
                 # The last group may go on in the next batch.
                 cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
-                part = [(key[:cut], labels[:cut], fps[:cut])] if cut else []
+                part = [(key[:cut], labels[:cut], nodes[:cut], fps[:cut])] if cut else []
                 if held and (held[-1][0][-1] == key[0]).all() and not cut:
-                    held.append((key, labels, fps))
+                    held.append((key, labels, nodes, fps))
                     continue
                 whole = [np.concatenate(x) for x in zip(*held, *part, strict=True)] if held or part else None
                 if whole:
                     yield from links(*whole)
-                held = [(key[cut:], labels[cut:], fps[cut:])]
+                held = [(key[cut:], labels[cut:], nodes[cut:], fps[cut:])]
             if held:
                 yield from links(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
@@ -315,17 +359,18 @@ def _search(routed: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
 def _route(uniq: DataFrame, width: int, leaves) -> DataFrame:
     """routed(tree, leaf, label, w0, ...) of uniq(label, w0, ...); leaves(fps) yields (tree, leaf of each fingerprint)."""
     words = _columns(width)
+    named = ["label", "node"] if "node" in uniq.columns else ["label"]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns)]
-            fps = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[1:]]).view(np.uint64)
+            fps = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[len(named) :]]).view(np.uint64)
             for tree, leaf in leaves(fps):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), tree, np.int32)), pa.array(leaf), *columns], ["tree", "leaf", "label", *words])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), tree, np.int32)), pa.array(leaf), *columns], ["tree", "leaf", *named, *words])
 
-    return uniq.select("label", *words).mapInArrow(run, "tree int, leaf long, label long, " + ", ".join(f"{w} long" for w in words))
+    return uniq.select(*named, *words).mapInArrow(run, "tree int, leaf long, " + ", ".join(f"{c} long" for c in [*named, *words]))
 
 
 def near_links(uniq: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -354,8 +399,8 @@ def wide_trees(n: int, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS, recal
     return math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
-def wide_links(uniq: DataFrame, n: int, trees: range, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between the labels of distinct fingerprints uniq(label, w0, ...), as far as the given trees find them."""
+def wide_links(uniq: DataFrame, n: int, trees: range, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS, tile: int = TILE, every: bool = False, turn: int = 0) -> DataFrame:
+    """Links (a, b) between the labels of distinct fingerprints uniq(label, w0, ...), as far as the given trees find them; see _search for nodes."""
     depth = wide_depth(n)
 
     def leaves(fps):
@@ -365,7 +410,7 @@ def wide_links(uniq: DataFrame, n: int, trees: range, radius: int = WIDE_RADIUS,
             # One level for each bit: the vantage point's side of it is the inside.
             yield tree, bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(depth, dtype=np.int64))
 
-    return _search(_route(uniq, width, leaves), radius, width, tile)
+    return _search(_route(uniq, width, leaves), radius, width, tile, every, turn)
 
 
 def _labelled(uniq: DataFrame, links: DataFrame, width: int) -> DataFrame:
@@ -402,14 +447,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return base.join(groups, words).select("doc_id", F.col("w0").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS) -> DataFrame:
+def _grouped(uniq: DataFrame, links: DataFrame) -> DataFrame:
+    """uniq(node, ...) with the label of each node's component under the links."""
+    roots = stored(connected_components(links), "near-roots")
+    kept = [c for c in uniq.columns if c != "label"]
+    return uniq.drop("label").join(roots, "node", "left").select(F.coalesce("root", "node").alias("label"), *kept)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose sets(node, shingles) have a resemblance of at least `similarity`."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge")
+    both = F.size(F.array_intersect("sa", "sb"))
+    counted = ordered.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
+    return counted.where(F.col("both") / (F.col("total") - F.col("both")) >= similarity).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS, reach: int = CANDIDATE_REACH, width: int = WIDE_WORDS) -> DataFrame:
+    """(doc_id, component_id) for every row of docs.
+
+    Two texts are linked when their sets of shingles have a resemblance of at
+    least `similarity`, which is computed exactly for every pair that the wide
+    forest finds within the radius; component_id is the smallest doc_id reachable
+    over links. Wordless texts are alike. Null ids are as in near_duplicates.
+    """
+    words = _columns(width)
+    slim = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", F.xxhash64("doc_id", "text"))
+
+    def narrow(batches):
+        import pyarrow as pa
+        import xxhash
+
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "rid", "label", *words)])
+
+        def items():
+            for d, r, t in rows(batches, "doc_id", "rid", "text"):
+                own = np.unique(shingles_of(t, shingle))
+                # Equal sets have one label, whatever the texts.
+                yield d, r, xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), *_votes(own, width).view(np.int64).tolist()
+
+        yield from in_batches(schema, items(), 20_000)
+
+    base = stored(slim.mapInArrow(narrow, "doc_id long, rid long, label long, " + ", ".join(f"{w} long" for w in words)), "near-base")
+    uniq = stored(base.groupBy("label", *words).agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid")).select("label", F.col("label").alias("node"), "rep", "rid", *words), "near-distinct")
+    n = uniq.count()
+    trees = wide_trees(n, reach, width)
+    first = min(FIRST_TREES, trees)
+
+    # Which texts have candidates: those of a spanning forest.
+    early = stored(wide_links(uniq, n, range(first), radius, width), "near-early")
+    links = stored(wide_links(_grouped(uniq, early), n, range(first, trees), radius, width).unionByName(early), "near-links")
+    touched = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    some = stored(uniq.join(touched, "node", "left_semi").select(*uniq.columns), "near-candidates")
+
+    def listed(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("rid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        for r, t in rows(batches, "rid", "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([np.unique(shingles_of(t, shingle)).view(np.int64)], schema.field(1).type)], schema=schema)
+
+    wanted = some.select("rid")
+    wanted = F.broadcast(wanted) if some.count() <= BROADCAST_KEYS else wanted.hint("merge")
+    found = slim.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(listed, "rid long, shingles array<long>").dropDuplicates(["rid"])
+    sets = stored(found.join(some.select("rid", "node"), "rid").select("node", "shingles"), "near-sets")
+
+    true = stored(_verified(links, sets, similarity), "near-true")
+    for turn in range(1, ROUNDS + 1):
+        tried = wide_links(_grouped(some, true), n, range(first), radius, width, turn=turn)
+        new = stored(_verified(tried, sets, similarity), "near-true")
+        if not new.take(1):
+            break
+        true = true.unionByName(new)
+    rest = wide_links(_grouped(some, true), n, range(trees), radius, width, every=True)
+    true = true.unionByName(stored(_verified(rest, sets, similarity), "near-true"))
+    named = stored(_grouped(uniq, true), "near-named")
+    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    groups = stored(named.join(smallest, "label").select("node", "component_id"), "near-groups")
+    return base.join(groups, F.col("label") == F.col("node")).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that have a near duplicate with a smaller id; columns are unchanged.
 
     Near duplicates are those of a similarity of 0.8 or more unless told otherwise.
     Rows whose group has no id at all (null ids only) stay. Of rows that repeat
     the smallest id itself, all stay: the id names one document.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius, width)
+    found = similar_groups(docs, id_col, text_col, shingle, similarity)
     (name,) = fresh(docs, "__gone")
     gone = found.where("doc_id IS NOT NULL AND component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
     # Always a merge join, whose cost follows the input; a broadcast could only hold at small sizes.

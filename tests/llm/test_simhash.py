@@ -187,3 +187,39 @@ def test_copies_in_great_number(spark):
     rows = [(i, "one text that is copied very often indeed", "en", "a") for i in range(3000)]
     got = simhash.near_duplicates(documents(spark, rows)).select("component_id").distinct().collect()
     assert [r.component_id for r in got] == [0]
+
+
+def test_keep_one_follows_the_true_resemblance(spark):
+    """Groups of exact Jaccard 0.8: pairs a little below it stay apart, near fingerprints or not."""
+    rng = random.Random(21)
+    texts = [t for edits in (3, 4, 5, 6, 7) for _ in range(30) for t in near_copies(rng, 4, edits)]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    below = 0
+    for a in range(len(texts)):
+        for b in range(a - a % 4, a):
+            j = resemblance(texts[a], texts[b])
+            below += 0.65 <= j < 0.8
+            if j >= 0.8:
+                up[max(find(a), find(b))] = min(find(a), find(b))
+    want = [find(i) for i in range(len(texts))]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert below > 100 and len(set(want)) < len(texts) - 40
+    assert all(want[got[i]] == want[i] for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 0.99 * len(got)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(got.values()))
+
+
+@pytest.mark.parametrize("size", [30, 300])
+def test_every_link_between_labels(size):
+    rng = random.Random(22)
+    fps = np.array(near(rng, 12345678901234567, size, 9), np.uint64)
+    labels = np.array([i % 5 for i in range(size)])
+    got = {tuple(sorted(p)) for p in simhash.local_links(fps, 4, leaf=32, labels=labels, every=True)}
+    assert got == {(j, i) for i in range(size) for j in range(i) if labels[i] != labels[j] and int(fps[i] ^ fps[j]).bit_count() <= 4}
