@@ -33,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with size, source_size, target and taken."""
-    return mixing.Mixture(docs).taken_rows()
+    """Documents that the mix takes words of, their texts as far as taken, with size, source_size, target and taken."""
+    return mixing.Mixture(docs).taken_rows().withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 STAGES = [

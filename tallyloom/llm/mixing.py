@@ -7,10 +7,13 @@ output shard by a hash, and the remainder's exact word quota is split among the
 shards by a binary tree whose nodes draw hypergeometrically (each half gets what
 a random subset of the source's words would have in it). Each shard then takes
 its own blocks in a random permutation until its quota is met, the last one in
-part, so shares are disjoint and add up to the quota exactly.
+part, so shares are disjoint and add up to the quota exactly. Blocks of whole
+passes are dealt to shards likewise, each pass by hashes of its own, and stand
+among the drawn ones in a shard's order.
 
-Scale. Sizes are counted in one pass and kept as a narrow table; all later steps
-move (id, size) rows, never texts. A shard holds about `shard_words` words of all
+Scale. Sizes are counted in one pass and kept as a narrow table; the plan moves
+(id, size) rows, never texts. Only the mixed output itself (`output`,
+`taken_rows`) moves each text once, to meet the list of its slices. A shard holds about `shard_words` words of all
 sources, so the largest source is spread over all shards and no task sorts more
 than a shard's blocks. Only one row per source reaches the driver (more than
 MAX_SOURCES are an error). Draws are
@@ -20,13 +23,14 @@ seeded by source and tree node, so a rerun, or a retried task, agrees.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, pick, stored
+from .common import fresh, in_batches, pick, rows, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -99,6 +103,24 @@ def _source_seed(source: str | None) -> int:
     return zlib.crc32(source.encode("utf-8", "surrogatepass")) if source is not None else 1 << 32
 
 
+def slices(text: str, wanted: list[dict]) -> list[str]:
+    """The text of each wanted slice (first word, number of words), with the blanks after it; the first one has those before it."""
+    at = [m.start() for m in re.finditer(WORDS, text)]
+    at[:1], end = [0], len(text)
+    return [text[at[w["first"]] : at[w["first"] + w["words"]] if w["first"] + w["words"] < len(at) else end] for w in wanted]
+
+
+def together(text: str, wanted: list[dict]) -> str:
+    """The wanted slices as one text; a line is broken where a slice doesn't go on from the one before."""
+    out, last = [], None
+    for w, piece in zip(wanted, slices(text, wanted), strict=True):
+        if last is not None and (w["pass"], w["first"]) != last:
+            out.append("\n")
+        out.append(piece)
+        last = (w["pass"], w["first"] + w["words"])
+    return "".join(out)
+
+
 class Mixture:
     """The plan for one corpus: its documents, sources and drawn blocks."""
 
@@ -146,7 +168,7 @@ class Mixture:
         before = F.coalesce(F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranked = blocks.withColumn("before", before)
         same = F.col("q.source").eqNullSafe(F.col("b.source")) & (F.col("q.shard") == F.col("b.shard"))
-        #: (shard, turn, rid, copy, first, words): the blocks drawn; a shard's order is by turn.
+        #: (shard, turn, rid, copy, first, words): the blocks drawn for the remainders; a shard's order is by turn.
         self.drawn = (
             ranked.alias("b")
             .join(quotas.alias("q"), same)
@@ -154,33 +176,94 @@ class Mixture:
             .select("b.shard", "b.turn", "b.rid", "b.copy", "b.first", F.least(F.col("b.words"), F.col("q.quota") - F.col("b.before")).alias("words"))
         )
 
+        whole = self.sources.where("passes > 0").select("source", "passes")
+        repeated = (
+            blocks.alias("b")
+            .join(F.broadcast(whole).alias("w"), F.col("b.source").eqNullSafe(F.col("w.source")))
+            .select("b.rid", "b.copy", "b.first", "b.words", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int") - 1)).alias("pass"))
+            .withColumn("turn", F.xxhash64("rid", "copy", "first", "pass", F.lit(seed)))
+            .withColumn("shard", F.pmod(F.xxhash64("turn", F.lit(1)), F.lit(shards)).cast("int"))
+        )
+        #: (shard, turn, pass, rid, copy, first, words): every block of the mix; pass -1 is the remainder.
+        self.placed = repeated.select("shard", "turn", "pass", "rid", "copy", "first", "words").unionByName(self.drawn.withColumn("pass", F.lit(-1)))
+
     def documents(self) -> DataFrame:
-        """(rid, copy, doc_id, source, size, source_size, target, taken) for every document."""
-        words = self.drawn.groupBy("rid", "copy").agg(F.sum("words").alias("drawn"))
+        """(rid, copy, doc_id, source, size, source_size, target, taken) for every document, counted from the placed blocks."""
+        return self._documents(self.placed)
+
+    def _documents(self, placed: DataFrame, *more) -> DataFrame:
+        words = placed.groupBy("rid", "copy").agg(F.sum("words").alias("drawn"), *[column.alias(name) for name, column in more])
         base, src = self.base.alias("d"), self.sources.alias("s")
         return (
             base.join(F.broadcast(src), F.col("d.source").eqNullSafe(F.col("s.source")))
             .drop(F.col("s.source"))
             .join(words, ["rid", "copy"], "left")
-            .select("rid", "copy", "doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce("drawn", F.lit(0))).alias("taken"))
+            .select("rid", "copy", "doc_id", "source", "size", "source_size", "target", F.coalesce("drawn", F.lit(0)).cast("long").alias("taken"), *[name for name, _ in more])
         )
 
+    def _joined(self, placed: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, Column]:
+        """The rows of docs that blocks are taken of, and the struct that says which: documents' columns and `slices` of the fields."""
+        rid, copy, found = fresh(self.docs, "__rid", "__copy", "__mix")
+        listed = F.sort_array(F.collect_list(F.struct(*fields)))
+        per = self._documents(placed, ("slices", listed)).where("taken > 0").groupBy("rid")
+        per = per.agg(F.sort_array(F.collect_list(F.struct("copy", "size", "source_size", "target", "taken", "slices"))).alias(found)).withColumnRenamed("rid", f"{found}rid")
+        i, t, s = (F.col(f"`{c}`") for c in self.columns)
+        docs = self.docs.withColumn(rid, F.xxhash64(i, s.cast("string"), t))
+        docs = docs.withColumn(copy, F.row_number().over(Window.partitionBy(rid).orderBy(rid)) - 1)
+        # Always a merge join, whose cost follows the input.
+        joined = docs.join(per.hint("merge"), F.col(rid) == F.col(f"{found}rid"))
+        joined = joined.withColumn(found, F.get(F.filter(found, lambda x: x["copy"] == F.col(copy)), 0)).where(F.col(found).isNotNull())
+        return joined, F.col(found)
+
+    def output(self) -> DataFrame:
+        """(shard, place, doc_id, source, pass, first, words, text): the mix itself, a slice of `words` words from word `first` on in each row.
+
+        place counts from 1 in each shard. pass is -1 for what is drawn for a remainder.
+        """
+        order = Window.partitionBy("shard").orderBy("turn", "rid", "copy", "first", "pass")
+        placed = self.placed.withColumn("place", F.row_number().over(order))
+        joined, found = self._joined(placed, ("pass", "first", "words", "shard", "place"))
+        i, t, s = (F.col(f"`{c}`") for c in self.columns)
+        each = joined.select(i.cast("long").alias("doc_id"), t.alias("text"), s.cast("string").alias("source"), found["slices"].alias("slices"))
+
+        def run(batches):
+            import pyarrow as pa
+
+            kinds = {"shard": pa.int32(), "place": pa.int32(), "doc_id": pa.int64(), "source": pa.string(), "pass": pa.int32(), "first": pa.int64(), "words": pa.int64(), "text": pa.string()}
+
+            def items():
+                for d, text, source, wanted in rows(batches, "doc_id", "text", "source", "slices"):
+                    for w, piece in zip(wanted, slices(text, wanted), strict=True):
+                        yield w["shard"], w["place"], d, source, w["pass"], w["first"], w["words"], piece
+
+            yield from in_batches(pa.schema(list(kinds.items())), items())
+
+        out = each.mapInArrow(run, "shard int, place int, doc_id long, source string, pass int, first long, words long, text string")
+        return out.repartition("shard").sortWithinPartitions("shard", "place")
+
     def taken_rows(self) -> DataFrame:
         """The rows of docs that the mix takes words of, with size, source_size, target and taken added.
 
-        Columns of docs called like one of those four are replaced.
+        A row's text is what the mix takes of it: the drawn slices, then each whole pass. Columns of docs called like one of those four are replaced.
         """
         added = ("size", "source_size", "target", "taken")
-        rid, copy, found = fresh(self.docs, "__rid", "__copy", "__mix")
-        per = self.documents().groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("copy", *added))).alias(found)).withColumnRenamed("rid", f"{found}rid")
-        i, t, s = (F.col(f"`{c}`") for c in self.columns)
-        docs = self.docs.withColumn(rid, F.xxhash64(i, s.cast("string"), t))
-        docs = docs.withColumn(copy, F.row_number().over(Window.partitionBy(rid).orderBy(rid)))
-        one = F.get(F.col(found), F.col(copy) - 1)
+        joined, found = self._joined(self.placed, ("pass", "first", "words"))
         kept = [F.col(f"`{c}`") for c in self.docs.columns if c not in added]
-        # Always a merge join, whose cost follows the input.
-        joined = docs.join(per.hint("merge"), F.col(rid) == F.col(f"{found}rid")).where(one["taken"] > 0)
-        return joined.select(*kept, *[one[c].alias(c) for c in added])
+        (wanted,) = fresh(self.docs, "__slices")
+        out = joined.select(*kept, *[found[c].alias(c) for c in added], found["slices"].alias(wanted))
+        schema, at = out.drop(wanted).schema, out.columns.index(self.columns[1])
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    columns = batch.slice(start, 500).columns
+                    texts = [together(t, w) for t, w in zip(columns[at].to_pylist(), columns[-1].to_pylist(), strict=True)]
+                    columns[at] = pa.array(texts, columns[at].type)
+                    yield pa.RecordBatch.from_arrays(columns[:-1], batch.schema.names[:-1])
+
+        return out.mapInArrow(run, schema)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -104,3 +104,28 @@ def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
     _, want, taken = check(rows, queries.op10_mixing(spark, sf_dir).collect())
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_output_holds_the_words_of_all_passes_and_slices(spark):
+    """Whole passes are blocks too: every shard has them, and op10's counts are those of the output's texts."""
+    rows = [(i, "  " + " ".join(f"d{i}w{j}" for j in range(i * 53 % 1500)), "en", "abc"[min(2, i % 7)]) for i in range(150)]
+    rows += [(900, "a b", "en", "b"), (900, "a b", "en", "b")]
+    mixture = mixing.Mixture(documents(spark, rows), shard_words=5_000)
+    out, counts, text = mixture.output().collect(), mixture.documents().collect(), {d: t for d, t, _, _ in rows}
+    assert any(r.passes for r in mixture.sources.collect()) and len({r.shard for r in out if r["pass"] >= 0}) > 3
+    taken, passes = defaultdict(int), defaultdict(list)
+    for r in out:
+        assert r.text.split() == text[r.doc_id].split()[r.first : r.first + r.words] and 0 < r.words <= mixing.BLOCK_WORDS
+        taken[r.doc_id] += len(r.text.split())
+        passes[r.doc_id, r["pass"]].append((r.first, r.text))
+    want = defaultdict(int)
+    for r in counts:
+        want[r.doc_id] += r.taken
+    assert {d: n for d, n in want.items() if n} == dict(taken)
+    assert all("".join(t for _, t in sorted(v)) == text[d] for (d, p), v in passes.items() if p >= 0 and d != 900)
+    places = defaultdict(list)
+    for r in out:
+        places[r.shard].append(r.place)
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in places.values())
+    for r in mixture.taken_rows().collect():
+        assert len(r.text.split()) == int(r.taken)
