@@ -2,12 +2,15 @@
 
 A k-mer of code points is an anchor if the least hash among its inner s-mers is
 at its first or last place. Whether a k-mer is an anchor depends on nothing but
-itself, so anchors survive any edit elsewhere. A fingerprint keeps the `size`
-anchors of smallest hash, a uniform sample of all anchors of the whole text, each
-with its place (the n-th occurrence of an anchor counts as an anchor of its own).
-Likeness is the share of the
-smallest hashes of both fingerprints together that both have, at a common
-displacement (positional matching): an estimate of the resemblance of the texts.
+itself, so anchors survive any edit elsewhere; k and s are the same for texts of
+every length. A fingerprint keeps the anchors whose hash lies in the lowest
+1/`SHARE` of the hash range and, where those are fewer than `size`, the `size`
+smallest: a uniform sample that grows with the text, so that a passage shared by
+two long texts shows. Each anchor has its place, and its n-th occurrence counts
+as an anchor of its own. Two fingerprints are compared up to the smaller of the
+hashes to which they are complete. Likeness is the share of those hashes that
+both have, at a common displacement (positional matching): an estimate of the
+resemblance of the texts.
 
 Scale. Fingerprints are a map over documents. Neighbours by doc_id come from one
 shuffle of the texts into ranges of ids; each range is closed by a copy of the
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, pick, rows
 
-K, S, SIZE = 12, 5, 64
-#: Texts under SHORT code points get anchors of small k-mers besides: they have too few of the others.
-SMALL_K, SMALL_S, SHORT = 4, 2, 96
+K, S, SIZE, SHARE = 8, 3, 64, 16
+#: Hashes of chosen anchors have 32 bits; those below CUT are kept whatever their number.
+CUT = (1 << 32) // SHARE
 #: Odd multipliers of the polynomials and of an anchor's occurrence number.
 BASE, AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -67,9 +70,6 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of the text's anchors; a text with none is one anchor itself, an empty one has none."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     h, at = closed_syncmers(c)
-    if len(c) < SHORT:
-        small, there = closed_syncmers(c, SMALL_K, SMALL_S)
-        h, at = np.concatenate([h, small]), np.concatenate([at, there])
     if not len(h) and text:
         whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         return np.frombuffer(whole, "<u8").astype(np.uint64), np.zeros(1, np.int64)
@@ -86,11 +86,17 @@ def fingerprint(text: str | None, size: int = SIZE) -> str:
     nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
     own = (_mix(h + nth.astype(np.uint64) * AGAIN) >> np.uint64(32)).astype(np.uint32)
     chosen, where = np.unique(own, return_index=True)
-    return ",".join(f"{x:08x}@{p:x}" for x, p in zip(chosen[:size].tolist(), at[where[:size]].tolist(), strict=True))
+    n = max(size, int(np.searchsorted(chosen, CUT)))
+    return ",".join(f"{x:08x}@{p:x}" for x, p in zip(chosen[:n].tolist(), at[where[:n]].tolist(), strict=True))
 
 
-def _parsed(fp: str) -> dict[str, int]:
-    return {x[:8]: int(x[9:], 16) for x in fp.split(",")} if fp else {}
+def _parsed(fp: str) -> dict[int, int]:
+    return {int(x[:8], 16): int(x[9:], 16) for x in fp.split(",")} if fp else {}
+
+
+def _complete(found: dict[int, int], size: int) -> int:
+    """The hash below which a fingerprint has all anchors of its text; one of fewer than `size` anchors has them all."""
+    return 1 << 32 if len(found) < size else max(CUT, max(found) + 1)
 
 
 def likeness(a: str, b: str, size: int = SIZE) -> float:
@@ -100,9 +106,8 @@ def likeness(a: str, b: str, size: int = SIZE) -> float:
     x, y = _parsed(a), _parsed(b)
     if not x or not y:
         return 0.0
-    union = sorted(x.keys() | y.keys())
-    if len(x) >= size or len(y) >= size:
-        union = union[:size]
+    least = min(_complete(x, size), _complete(y, size))
+    union = [h for h in x.keys() | y.keys() if h < least]
     moved = [y[h] - x[h] for h in union if h in x and h in y]
     if not moved:
         return 0.0

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,6 +48,46 @@ def test_likeness():
     assert f("") == "" and f(None) == "" and f("ab") and f("ab") != f("ba")
 
 
+def test_anchors_do_not_depend_on_the_length_of_the_text():
+    """Each prefix of a text is like the next longer one: a character more adds an anchor or none."""
+    rng = random.Random(4)
+    for _ in range(5):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(260))
+        fps = [syncmers.fingerprint(text[:n]) for n in range(261)]
+        assert all(syncmers.likeness(fps[n], fps[n + 1]) >= 0.6 for n in range(20, 60))
+        assert all(syncmers.likeness(fps[n], fps[n + 1]) >= 0.85 for n in range(60, 260))
+        assert all(syncmers.likeness(fps[n], fps[n + 2]) >= 0.9 for n in (94, 95, 96, 97, 120, 200))
+
+
+def plain_likeness(a, b):
+    """Of all anchors, by sets and places: the share of the common ones at the commonest displacement."""
+
+    def all_of(text):
+        h, at = syncmers.anchors(text)
+        seen, out = Counter(), {}
+        for x, p in zip(h.tolist(), at.tolist(), strict=True):
+            out[x, seen[x]] = p
+            seen[x] += 1
+        return out
+
+    x, y = all_of(a), all_of(b)
+    moved = [y[k] - x[k] for k in x.keys() & y.keys()]
+    if not moved:
+        return 0.0
+    shift = Counter(moved).most_common(1)[0][0]
+    return sum(abs(d - shift) <= syncmers.K for d in moved) / len(x.keys() | y.keys())
+
+
+def test_likeness_of_long_texts_is_near_that_of_all_anchors():
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passage = prose(400)
+    long, other = prose(3_000) + passage + prose(3_000), prose(500) + passage + prose(2_000)
+    for a, b in ((long, long[: len(long) * 3 // 4] + prose(1_500)), (long, other), (long, passage), (other, passage), (prose(3_000), prose(3_000))):
+        assert abs(syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b)) - plain_likeness(a, b)) < 0.05
+    assert syncmers.likeness(syncmers.fingerprint(long), syncmers.fingerprint(other)) > 0.02
+
+
 def plain(rows):
     rows = [(d, t or "") for d, t in rows]
     out = {}
