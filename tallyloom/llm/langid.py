@@ -12,9 +12,10 @@ An n-gram is one 64-bit key, 16 bits for each of its characters (characters
 beyond the basic plane share keys with others), so that a text's n-grams are
 counted by sorting one array.
 
-Scale. Language profiles are fitted on at most about `train_docs` labelled
-documents per language (kept by a hash of the row, at a rate set by the exact
-count per language); they are a few hundred rows per language and the only thing
+Scale. Language profiles are fitted on at most `train_docs` distinct labelled
+texts per language (drawn by a hash at a rate set by a sketched count per
+language; copies count once, so a hot text is one example);
+they are a few hundred rows per language and the only thing
 sent to executors. Prediction is a map over documents without any shuffle. Long
 texts are counted in chunks, so memory follows the distinct n-grams.
 """
@@ -25,6 +26,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,10 @@ PROFILE = 400
 TRAIN_DOCS = 4_000
 MAX_LANGUAGES = 5_000
 UNKNOWN = "und"
-NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters are the characters of Unicode category L; the second pass takes out numbers such as ½ or Ⅷ, which only texts beyond ASCII have.
+NO_LETTERS, NUMBERS = re.compile(r"[\W\d_]+"), regex.compile(r"\P{L}+")
+#: A sample aims at this share of its bound, since the count of distinct texts is a sketch's and the draw is by chance.
+MARGIN = 0.9
 CHUNK = 1 << 18
 
 Counts = tuple[np.ndarray, np.ndarray]
@@ -51,9 +56,15 @@ def merged(parts: list[Counts]) -> Counts:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def letters_of(text: str | None) -> str:
+    """The text's lower-cased runs of letters with one blank between."""
+    words = NO_LETTERS.sub(" ", (text or "").lower())
+    return (words if words.isascii() else NUMBERS.sub(" ", words)).strip()
+
+
 def grams(text: str | None) -> Counts:
     """The text's n-grams as keys, sorted, and how often each occurs."""
-    words = NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    words = letters_of(text)
     if not words:
         return NONE
     blank, parts = np.uint64(32), []
@@ -119,18 +130,20 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, profile: int = PROFILE) -> Profiles:
-    """Profiles of every non-null language in train, from about train_docs rows of each at most.
+    """Profiles of every non-null language in train, from at most train_docs distinct texts of each.
 
     More than MAX_LANGUAGES distinct languages is an error: the profiles are sent to executors.
     """
-    named = pick(train, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = named.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    named = pick(train, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("turn", F.xxhash64("text", F.lit(11)))
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("turn", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Profiles([], profile)
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, train_docs / r["count"])))])
-    chance = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, MARGIN * train_docs / max(1, r["n"]))))])
+    chance = F.pmod("turn", F.lit(1_000_003)) / F.lit(1_000_003.0)
+    # Copies meet on the map side; the few texts that are left are spread over tasks again.
+    chosen = named.where(chance < rate[F.col("lang")]).groupBy("lang", "turn").agg(F.min("text").alias("text")).repartition(32, "turn")
 
     def count(batches):
         import pyarrow as pa
@@ -154,7 +167,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", train_
                 size = 0
         yield from flush()
 
-    counts = named.where(chance < rate[F.col("lang")]).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n"))) - 1
     top = counts.select("lang", "gram", rank.alias("rank")).where(F.col("rank") < profile)
     return Profiles(((r["lang"], r["gram"], r["rank"]) for r in top.collect()), profile)

@@ -93,6 +93,27 @@ def test_held_out_documents_are_not_learned_from(spark, sf_dir):
     assert sum(r.lang_pred == lang[r.doc_id] for r in out) >= 0.95 * len(out)
 
 
+def test_letters_are_those_of_category_l(spark):
+    """Numbers that are no decimal digits are no letters, nor are marks alone."""
+    for text in ("½ ²", "Ⅷ ①", "\u0301", "٣ ৪", "_ __", "\U0001f600"):
+        assert not len(langid.grams(text)[0]), text
+    assert langid.letters_of("a½b Été_x² 中文Ⅷ") == "a b été x 中文"
+    rows = [(i, t, lang, "a") for i, (lang, t) in enumerate(SAMPLES.items())] + [(9, "½ ²", "en", "a")]
+    docs = documents(spark, rows)
+    profiles = langid.fit(docs)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, profiles).collect()}[9] == "und"
+    assert langid.keep_identified(docs, profiles).count() == 3
+
+
+def test_copies_are_one_example_and_the_bound_holds(spark):
+    rows = [(i, SAMPLES["en"] if i % 3 == 0 else f"the text number {'abcdefghij'[i % 10]}{'klmnopq'[i % 7]}{'rstuvwxyz'[i // 70 % 9]}{i}", "en", "a") for i in range(3000)]
+    docs = documents(spark, rows)
+    whole, once = langid.fit(docs), langid.fit(documents(spark, [r for r in rows if r[0] == 0 or r[0] % 3]))
+    assert (whole.keys == once.keys).all() and (whole.ranks == once.ranks).all()
+    bound = docs.select(F.xxhash64("text", F.lit(11)).alias("t")).distinct().where(F.pmod("t", F.lit(1_000_003)) < 1_000_003 * langid.MARGIN * 100 / 2001).count()
+    assert 50 < bound <= 130 and len(langid.fit(docs, train_docs=100).keys)
+
+
 def test_labels_alone_change_nothing(spark):
     rows = [(i, t, lang, "a") for i, (lang, t) in enumerate(SAMPLES.items())]
     profiles = langid.fit(documents(spark, rows))
