@@ -37,8 +37,9 @@ WITH lines AS (
 ), keyed AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM lines
 ), common AS (
-  SELECT key FROM keyed WHERE length(key) >= {linededup.MIN_CHARS}
-  GROUP BY key HAVING count(DISTINCT coalesce('s' || source, 'null')) >= {linededup.MIN_SITES}
+  SELECT key FROM keyed WHERE key <> ''
+  GROUP BY key HAVING count(DISTINCT coalesce('s' || source, 'null'))
+                      >= CASE WHEN length(key) < {linededup.SHORT_CHARS} THEN {linededup.SHORT_SITES} ELSE {linededup.MIN_SITES} END
 ), marked AS (
   SELECT k.*, c.key IS NOT NULL
          AND row_number() OVER (PARTITION BY k.key ORDER BY k.doc_id, k.pos) > 1 AS lost
@@ -88,7 +89,7 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    chain = toxicity.fit(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    chain = toxicity.fit(docs, labels, {"toxic": F.col("toxic") == 1}, kinds=toxicity.KINDS)
     return toxicity.scored(docs, chain)
 
 
