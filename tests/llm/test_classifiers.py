@@ -66,7 +66,56 @@ def test_quality_held_against_labels(spark, sf_dir):
     got = {r.doc_id: r.keep for r in queries.op3_quality(spark, sf_dir).collect()}
     good = [got[d] for d, q in label.items() if q]
     bad = [got[d] for d, q in label.items() if not q]
-    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.5 * len(bad)
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def plain_posteriors(patterns):
+    """Expectation-maximisation over single texts, by loops: the chance of good for each text's votes."""
+    q = [1 / (1 + np.exp(3.0 * p.count(0) - 0.5 * p.count(1))) for p in patterns]
+    for _ in range(100):
+        prior = min(0.99, max(0.01, sum(q) / len(q)))
+        tables = []
+        for weight in ([1 - x for x in q], q):
+            own = [[1.0, 1.0, 1.0] for _ in quality.LABELLERS]
+            for p, w in zip(patterns, weight, strict=True):
+                for labeller, vote in enumerate(p):
+                    own[labeller][vote] += w
+            tables.append([[x / sum(t) for x in t] for t in own])
+        new = []
+        for p in patterns:
+            odds = np.log(prior / (1 - prior)) + sum(np.log(tables[1][i][v] / tables[0][i][v]) for i, v in enumerate(p) if v != 2)
+            new.append(1 / (1 + np.exp(-min(35, max(-35, odds)))))
+        done = max(abs(a - b) for a, b in zip(q, new, strict=True)) < 1e-9
+        q = new
+        if done:
+            break
+    return q
+
+
+def test_quality_query_against_plain_expectation_maximisation(spark, sf_dir):
+    """posterior is that of a plain loop over all documents, and keep follows a scorer trained on those labels."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op3_quality(spark, sf_dir).collect()}
+    assert got.keys() == text.keys()
+    patterns = [quality.votes(quality.measures(t)) for t in text.values()]
+    want = dict(zip(text, plain_posteriors(patterns), strict=True))
+    assert all(abs(got[d].posterior - want[d]) < 1e-6 for d in text)
+    scorer, hasher = quality.fit(docs), linear.Hasher(quality.BUCKETS)
+    for d, t in text.items():
+        own = quality.features(hasher, t, quality.measures(t))
+        p = 1 / (1 + np.exp(-(sum(scorer.linear.w[i] for i in own) + scorer.linear.w[-1])))
+        assert abs(got[d].quality - p) < 1e-9 and got[d].keep == (got[d].quality >= scorer.threshold)
+    assert sum((got[d].quality > 0.5) == (want[d] > 0.5) for d in text) >= 0.95 * len(text)
+
+
+def test_measures_of_runs_by_counting_them():
+    rng = random.Random(15)
+    for n in (3, 18, 19, 40, 400):
+        words = [rng.choice("abc") for _ in range(n)]
+        five = [tuple(words[i : i + 5]) for i in range(n - 4)]
+        want = 1 - len(set(five)) / len(five) if len(five) >= 15 else 0.0
+        assert abs(quality.repeated_fives(words) - want) < 1e-12
 
 
 def test_chain_feeds_earlier_categories_out_of_fold():
@@ -82,12 +131,70 @@ def test_chain_feeds_earlier_categories_out_of_fold():
     assert ((p[:, 1] >= chain.thresholds[1]) == (y[:, 1] > 0)).mean() > 0.95
     # A fold's predictions come from a model that has not seen it.
     rest = [i for i in range(400) if i % toxicity.FOLDS != 0]
-    seen = np.bincount(np.concatenate(x), minlength=1 << 12)
-    x = [i[seen[i] <= toxicity.COMMON * len(x)] for i in x]
+    share = lambda own: np.bincount(np.concatenate(own), minlength=1 << 12) / len(own)
+    dull = share(x) > toxicity.COMMON
+    for j in range(2):
+        yes, no = share([i for i, v in zip(x, y[:, j], strict=True) if v]), share([i for i, v in zip(x, y[:, j], strict=True) if not v])
+        dull &= (yes <= toxicity.ALIKE * no) & (no <= toxicity.ALIKE * yes)
+    assert 0 < dull.sum() < 200
+    x = [i[~dull[i]] for i in x]
     model = linear.Linear(1 << 12).fit([x[i] for i in rest], np.zeros((len(rest), 0)), y[rest, 0], l1=toxicity.SPARSITY)
     assert abs(model.score(x[0]) - chain.out_of_fold[0, 0]) < 1e-12
 
 
+def test_words_of_a_hot_group_of_copies_keep_their_weight(spark):
+    """Toxic copies that are a third of all labelled rows don't take the telling words out of the model."""
+    rng = random.Random(13)
+    hot = prose(rng, 40) + " vileword of all"
+    rows = [(i, hot if i % 3 == 0 else prose(rng, 40) + (" vileword so" if i % 15 == 1 else ""), "en", "a") for i in range(900)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0 or i % 15 == 1)) for i in range(600)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.is_toxic for r in toxicity.scored(docs, toxicity.fit(docs, labels, {"toxic": F.col("toxic") == 1})).collect()}
+    assert sum(got[i] == (i % 3 == 0 or i % 15 == 1) for i in range(900)) >= 890
+
+
+def test_samples_keep_their_bounds_when_a_third_of_all_rows_is_one_text(spark, monkeypatch):
+    rng = random.Random(14)
+    hot = prose(rng, 30)
+    rows = [(7 if i % 3 == 0 else i, hot if i % 3 == 0 else prose(rng, 30), "en", "a") for i in range(3000)]
+    docs, sizes = documents(spark, rows).cache(), []
+    fit = linear.Linear.fit
+    monkeypatch.setattr(linear.Linear, "fit", lambda self, index, *a, **b: (sizes.append(len(index)), fit(self, index, *a, **b))[1])
+    quality.fit(docs, train_docs=100)
+    assert max(sizes) == 100
+    sizes.clear()
+    labels = spark.createDataFrame([(d, 1, int(d % 5 == 0)) for d, _, _, _ in rows], "doc_id long, quality int, toxic int")
+    toxicity.fit(docs, labels, {"toxic": F.col("toxic") == 1}, train_docs=100)
+    assert max(sizes) == 100
+
+
+def test_kinds_come_first_in_the_chain(spark, sf_dir):
+    """The registered query: each link's probabilities are those of its model on the words and the earlier probabilities."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), {"toxic": F.col("toxic") == 1}, kinds=toxicity.KINDS)
+    assert chain.names == [*toxicity.KINDS, "toxic"]
+    got = {r.doc_id: r for r in queries.op8_toxicity(spark, sf_dir).collect()}
+    text, hasher = {r.doc_id: r.text for r in docs.collect()}, linear.Hasher(chain.buckets)
+    assert got.keys() == text.keys()
+    for d, t in text.items():
+        words, earlier = hasher.starts(t), []
+        for name, model, least in zip(chain.names, chain.models, chain.thresholds, strict=True):
+            m = sum(model.w[i] for i in words) + sum(a * b for a, b in zip(model.w[chain.buckets :], earlier)) + model.w[-1]
+            p = 1 / (1 + np.exp(-m))
+            assert abs(got[d][f"p_{name}"] - p) < 1e-9 and got[d][f"is_{name}"] == (got[d][f"p_{name}"] >= least)
+            earlier.append(p)
+
+
+def test_toxicity_held_against_labels_it_has_not_seen(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    own, rest = labels.where("doc_id % 2 = 0"), {r.doc_id: r.toxic for r in labels.where("doc_id % 2 = 1").collect()}
+    chain = toxicity.fit(docs, own, {"toxic": F.col("toxic") == 1}, kinds=toxicity.KINDS)
+    got = {r.doc_id: r.is_toxic for r in toxicity.scored(docs.join(labels.where("doc_id % 2 = 1"), "doc_id", "left_semi"), chain).collect()}
+    hit = sum(got[d] and t == 1 for d, t in rest.items())
+    assert hit >= 0.95 * sum(rest.values()) and hit >= 0.95 * sum(got.values())
+
+
 def test_toxicity_of_planted_words(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, 50) + (" vileword here" if i % 6 == 0 else ""), "en", "a") for i in range(600)]
