@@ -2,9 +2,12 @@
 
 Base entities (e-mail, IPv4, payment card, phone) are matched by fixed regular
 expressions and checked. They are the seeds of a bootstrap over a bipartite
-graph of lexical patterns and instances. A pattern is the words and punctuation
-right before an entity; an instance is an entity's value or that of any other
-identifier-like token (six or more letters, digits, `_` or `-`, with a digit). A
+graph of lexical patterns and instances. A pattern is what stands right before
+an entity: the last word with its punctuation where that has a mark such as `=`,
+`:` or a quote, else the last two words; an instance is an entity's value or that of any other
+identifier-like token (six or more letters, digits, `_` or `-`, with a digit).
+Tokens of the shape of a secret (`SECRET`) are seeds too, as their shape tells
+what they are, but only a confident pattern reports them. A
 pattern's confidence grows with the share and the number of its distinct
 instances that are known; an unknown instance is believed by the noisy-or of its
 patterns' confidences, and becomes known for the next round once it is believed
@@ -36,10 +39,14 @@ EXPRESSIONS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}+[0-9])[A-Za-z0-9_-]{6,}+",
+    "id": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+",
 }
+#: Fixed value: hexadecimal keys and digests of 128 bits or more.
+SECRET = r"^(?=[0-9A-Fa-f]{32,}$)(?=.*[0-9])(?=.*[A-Fa-f])"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CONTEXT = r"((?:\p{L}+[^\p{L}\p{N}]{1,4})?\p{L}*[^\p{L}\p{N}]{0,4})$"
+MARKED = r"(\p{L}+[^\p{L}\p{N}]{0,3}[^\p{L}\p{N}\s.,;!?][^\p{L}\p{N}]{0,3})$"
+#: A pattern is read from so many characters: of a longer word its end tells it from others.
 CONTEXT_CHARS = 48
 ROUNDS, MIN_KNOWN, MIN_CONFIDENCE, MIN_BELIEF = 3, 3, 0.5, 0.6
 MARK, STAND_IN = "\x01", "\x02"
@@ -74,14 +81,19 @@ def matches(docs: DataFrame) -> DataFrame:
 
 
 def graph(found: DataFrame) -> DataFrame:
-    """(rid, kind, start, end, pattern, instance): base matches, and identifier-like ones that touch none of them."""
+    """(rid, kind, start, end, seed, pattern, instance): base matches, and identifier-like ones that touch none of them."""
     base = F.col("kind") != "id"
-    order = Window.partitionBy("rid").orderBy("start", "end", "kind")
-    earlier = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # Both frames grow from their order's beginning, which costs a step a row; one that shrinks towards the end would be computed anew for each row.
+    before_it = lambda *order: Window.partitionBy("rid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.max(F.when(base, F.col("end"))).over(before_it("start", "end", "kind"))
+    later = F.min(F.when(base, F.col("start"))).over(before_it(F.desc("start"), F.desc("end"), F.desc("kind")))
     free = base | ((F.coalesce(earlier, F.lit(-1)) <= F.col("start")) & (F.coalesce(later, F.col("end")) >= F.col("end")))
     before = F.regexp_replace(F.lower(F.regexp_extract("before", CONTEXT, 1)), r"\s+", " ")
-    return found.withColumn("free", free).where("free").select("rid", "kind", "start", "end", F.when(F.trim(before) != "", F.xxhash64(before)).alias("pattern"), F.xxhash64("value").alias("instance"))
+    marked = F.regexp_extract("before", MARKED, 1)
+    lexical = F.when(marked != "", marked).when(F.trim("before") != "", F.col("before"))
+    seed = base | F.col("value").rlike(SECRET)
+    told = found.withColumn("free", free).where("free").withColumn("before", before)
+    return told.select("rid", "kind", "start", "end", seed.alias("seed"), F.when(lexical.isNotNull(), F.xxhash64(lexical)).alias("pattern"), F.xxhash64("value").alias("instance"))
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_known: int = MIN_KNOWN, min_confidence: float = MIN_CONFIDENCE, min_belief: float = MIN_BELIEF) -> DataFrame:
@@ -110,7 +122,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     slim = pick(docs, doc_id=id_col, text=text_col).select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = stored(graph(stored(matches(slim), "pii-matches")), "pii-graph")
-    patterns = bootstrap(found.withColumn("seed", F.col("kind") != "id"), rounds)
+    patterns = bootstrap(found, rounds)
     new = found.where("kind = 'id'").join(stored(patterns, "pii-patterns"), "pattern", "left_semi")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = found.where("kind <> 'id'").select("rid", rank.alias("rank"), "kind", "start", "end").unionByName(new.select("rid", rank.alias("rank"), "kind", "start", "end"))

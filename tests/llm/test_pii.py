@@ -70,20 +70,31 @@ def test_rounds_reach_patterns_that_share_only_discovered_instances(spark):
     assert {d for d, n in later.items() if n and d >= 100} == plain
 
 
+def test_secrets_teach_the_pattern_that_finds_others(spark):
+    rows = [(i, f'They said zeg{"abcdef"[i % 6]} key = "{hashlib.md5(str(i).encode()).hexdigest()}" and went', "en", "a") for i in range(9)]
+    rows += [(100, 'It is wuf key = "plain-secret-77" now', "en", "a"), (101, f"In commit {hashlib.md5(b'x').hexdigest()} nothing", "en", "a"), (102, "w" * 90 + "7 then", "en", "a")]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "id"] for r in pii.personal_data(documents(spark, rows)).collect()}
+    assert [rows[9][1][a:b] for a, b in got[100]] == ["plain-secret-77"] and all(len(got[i]) == 1 for i in range(9))
+    assert got[101] == [] and {d for d, s in got.items() if s} == bootstrap_by_hand(rows, 3)
+
+
 def bootstrap_by_hand(rows, rounds):
     import math
 
     pairs, where = {}, {}
     for d, t, _, _ in rows:
         base = plain_base(t)
-        for kind, expression in (("seed", None), ("id", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{6,}"))):
+        for kind, expression in (("seed", None), ("id", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{6,}"))):
             spans = [(a, b) for _, a, b in base] if kind == "seed" else [m.span() for m in expression.finditer(t)]
             for a, b in spans:
                 if kind == "id" and any(a < y and x < b for _, x, y in base):
                     continue
                 pattern = re.sub(r"\s+", " ", re.search(r"((?:[^\W\d_]+[^\w]{1,4})?[^\W\d_]*[^\w]{0,4})$", t[max(0, a - 48) : a])[1].lower())
+                marked = re.search(r"([^\W\d_]+[^\w]{0,3}[^\w\s.,;!?][^\w]{0,3})$", pattern)
+                pattern = marked[1] if marked else pattern
                 key = (pattern, t[a:b])
-                pairs[key] = pairs.get(key, False) or kind == "seed"
+                secret = len(t[a:b]) >= 32 and re.fullmatch("[0-9a-fA-F]+", t[a:b]) and not t[a:b].isdigit() and not t[a:b].isalpha()
+                pairs[key] = pairs.get(key, False) or kind == "seed" or bool(secret)
                 if kind == "id":
                     where.setdefault(pattern, set()).add(d)
 
