@@ -39,6 +39,8 @@ BLOCK_WORDS = 256
 SHARD_WORDS = 1 << 16
 MAX_SHARDS = 1 << 16
 MAX_SOURCES = 1_000_000
+#: Hashes of repeated rows that may be broadcast; more are joined by merging.
+BROADCAST_ROWS = 500_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -203,17 +205,21 @@ class Mixture:
 
     def _joined(self, placed: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, Column]:
         """The rows of docs that blocks are taken of, and the struct that says which: documents' columns and `slices` of the fields."""
-        rid, copy, found = fresh(self.docs, "__rid", "__copy", "__mix")
+        rid, found = fresh(self.docs, "__rid", "__mix")
         listed = F.sort_array(F.collect_list(F.struct(*fields)))
-        per = self._documents(placed, ("slices", listed)).where("taken > 0").groupBy("rid")
-        per = per.agg(F.sort_array(F.collect_list(F.struct("copy", "size", "source_size", "target", "taken", "slices"))).alias(found)).withColumnRenamed("rid", f"{found}rid")
+        per = self._documents(placed, ("slices", listed)).where("taken > 0")
+        per = per.select(F.col("rid").alias(f"{found}rid"), F.struct("size", "source_size", "target", "taken", "slices").alias(found))
         i, t, s = (F.col(f"`{c}`") for c in self.columns)
         docs = self.docs.withColumn(rid, F.xxhash64(i, s.cast("string"), t))
-        docs = docs.withColumn(copy, F.row_number().over(Window.partitionBy(rid).orderBy(rid)) - 1)
+        repeated = stored(self.base.where("copy = 1").select(F.col("rid").alias(rid)), "mix-repeated")
+        if (n := repeated.count()) > 0:
+            # Of rows that repeat one is kept, on the map side first, and meets the blocks of each: no task holds all copies of a text.
+            these = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated.hint("merge")
+            whole = F.first(F.struct(*[F.col(f"`{c}`") for c in self.docs.columns])).alias(found)
+            one = docs.join(these, rid, "left_semi").groupBy(rid).agg(whole).select(f"{found}.*", rid)
+            docs = docs.join(these, rid, "left_anti").select(*one.columns).unionByName(one)
         # Always a merge join, whose cost follows the input.
-        joined = docs.join(per.hint("merge"), F.col(rid) == F.col(f"{found}rid"))
-        joined = joined.withColumn(found, F.get(F.filter(found, lambda x: x["copy"] == F.col(copy)), 0)).where(F.col(found).isNotNull())
-        return joined, F.col(found)
+        return docs.join(per.hint("merge"), F.col(rid) == F.col(f"{found}rid")), F.col(found)
 
     def output(self) -> DataFrame:
         """(shard, place, doc_id, source, pass, first, words, text): the mix itself, a slice of `words` words from word `first` on in each row.
@@ -245,6 +251,7 @@ class Mixture:
         """The rows of docs that the mix takes words of, with size, source_size, target and taken added.
 
         A row's text is what the mix takes of it: the drawn slices, then each whole pass. Columns of docs called like one of those four are replaced.
+        Rows that repeat in id, source and text have their other columns from one of them.
         """
         added = ("size", "source_size", "target", "taken")
         joined, found = self._joined(self.placed, ("pass", "first", "words"))

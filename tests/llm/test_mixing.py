@@ -129,3 +129,15 @@ def test_output_holds_the_words_of_all_passes_and_slices(spark):
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in places.values())
     for r in mixture.taken_rows().collect():
         assert len(r.text.split()) == int(r.taken)
+
+
+def test_repeated_rows_are_no_hot_group(spark):
+    """A third of all rows one and the same: each is a document of its own, and no window deals their texts to one task."""
+    rows = [(7, "one text " * 400, "en", "a") if i % 3 == 0 else (100 + i, f"text {i} " * 300, "en", "ab"[i % 2]) for i in range(300)]
+    mixture = mixing.Mixture(documents(spark, rows))
+    kept = mixture.taken_rows()
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    got, want = kept.collect(), [r for r in mixture.documents().collect() if r.taken]
+    assert sorted((r.doc_id, int(r.taken)) for r in got) == sorted((r.doc_id, r.taken) for r in want)
+    assert all(len(r.text.split()) == int(r.taken) for r in got) and sum(r.doc_id == 7 for r in got) > 50
