@@ -23,23 +23,26 @@ Two forests:
   `blocks - radius` blocks, and there is a tree for each choice. Blocks grow with
   the count of distinct fingerprints (5: 13 bits and 5 trees; 8: 32 bits and 70).
 * `wide_links`, for a radius that no choice of blocks survives, as a similarity of
-  0.8 needs (about 40 of 256 bits differ). A tree has `depth` random bits; so many
-  trees are grown that a pair at the very radius shares a shard of one of them
-  with a chance of `recall` (nearer pairs are all but certain to). A few trees go
-  first; what they join is told to the others, which report new joins only.
-
-Where a similarity is asked for (`similar_groups`), links of the wide forest are
-candidates only: a pair counts once the exact resemblance of its two sets of
-shingles is high enough. A spanning forest then says no more than which texts have
-a candidate at all; their sets are fetched, groups grow by verified links, and at
-the end every candidate pair between two different groups is verified.
+  0.8 needs (about 40 of 256 bits differ). There the triangle bound prunes nothing
+  either: distances to any vantage point lie within 8 bits of 128, so every branch
+  overlaps a boundary 57 bits wide. A tree has `depth` random bits instead, a
+  level for each; so many trees are grown that a pair at the very radius shares a
+  shard of one of them with a chance of `recall` (nearer pairs are all but certain
+  to). A few trees go first; what they join is told to the others, which report
+  new joins only.
+
+Where a similarity is asked for (`similar_groups`), links of the wide forest make
+candidate groups only. The sets of shingles of a group's members are brought
+together, and every pair of the group, found by the wide forest or not, is linked
+if its exact resemblance is high enough: an inverted index over the sets counts
+what each shares with all others.
 
 Scale. Each distinct fingerprint goes to one shard of each tree: narrow rows, no
 texts. Depth grows with the count, so that shards stay small. A shard with more
 than `tile` members (a near-copy group) is cut into tiles, and each pair of tiles
-is a task's unit, so no task holds more than two tiles. A unit reports a
-spanning forest of its links rather than all pairs, which keeps the groups whole
-and the output linear.
+is a task's unit, so no task holds more than two tiles; candidate groups are cut
+likewise, by members and by shingles. A unit reports a spanning forest of its
+links rather than all pairs, which keeps the groups whole and the output linear.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, in_batches, pick, rows, stored
@@ -60,7 +63,8 @@ RADIUS = 4
 SEED = 42
 TILE = 32_768
 SHARD = 128
-LEAF = 512
+#: Members of a leaf that are compared with one another: of a tree that prunes, and of one at a wide radius, which doesn't.
+LEAF, WIDE_LEAF = 64, 512
 SMALL = 48
 #: Shingles of five words and a similarity of 0.8: such a pair differs in 39 of 256 bits on average, give or take 6, and most
 #: differ in 48 at most; unlike texts differ in about 128.
@@ -68,8 +72,8 @@ WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, RECALL, FIRST_TREES = 5, 4, 48, 0.95, 8
 #: Two texts are near duplicates from this share of common distinct shingles on. Candidates differ in CANDIDATE_RADIUS bits at most
 #: (sets of few shingles need more than others), and trees are counted for pairs that differ in CANDIDATE_REACH (39 plus three times 6).
 SIMILARITY, CANDIDATE_RADIUS, CANDIDATE_REACH = 0.8, 64, 57
-#: Rounds of spanning links before all candidate pairs between groups are verified, and rows of ids that may be broadcast.
-ROUNDS, BROADCAST_KEYS = 2, 500_000
+#: Members and shingles of a tile of a candidate group, and rows of ids that may be broadcast.
+GROUP_TILE, GROUP_SHINGLES, BROADCAST_KEYS = 1024, 1 << 19, 500_000
 
 
 def words_of(text: str | None, shingle: int = SHINGLE_WORDS, width: int = 1) -> np.ndarray:
@@ -212,34 +216,18 @@ def _cross(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fo
                     near[x + 1 :, cols] = False
 
 
-def _all_cross(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, labels: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All links between two index sets whose labels differ."""
-    for i in range(0, len(left), 1024):
-        for j in range(0, len(right), 1024):
-            a, b = left[i : i + 1024], right[j : j + 1024]
-            apart = labels[a][:, None] != labels[b][None, :]
-            if apart.any():
-                x, y = np.nonzero(apart & (_apart(fps[a][:, None], fps[b][None, :]) <= radius))
-                yield from zip(a[x].tolist(), b[y].tolist(), strict=True)
-
-
-def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, labels: np.ndarray | None = None, every: bool = False) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among fps (uint64; n, or n by words), as pairs of positions.
-
-    Positions of equal label count as linked already. With `every`, all links
-    between different labels instead.
-    """
+def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links among fps (uint64; n, or n by words), as pairs of positions; those of equal label count as linked already."""
     fps = fps.reshape(len(fps), -1)
     forest, todo = _Forest(len(fps)), [np.arange(len(fps))]
-    cross = (lambda a, b: _all_cross(fps, a, b, radius, labels)) if every else (lambda a, b: _cross(fps, a, b, radius, forest))
-    if labels is not None and not every:
+    if labels is not None:
         _, first, own = np.unique(labels, return_index=True, return_inverse=True)
         for x, y in enumerate(first[own].tolist()):
             forest.add(x, y)
     while todo:
         at = todo.pop()
         if len(at) <= leaf:
-            yield from cross(at, at)
+            yield from _cross(fps, at, at, radius, forest)
             continue
         d = _apart(fps[at], fps[at[0]])
         r = int(np.median(d))
@@ -247,9 +235,10 @@ def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, labels:
             r -= 1
         inside, outside = at[d <= r], at[d > r]
         if not len(inside) or not len(outside):
-            yield from cross(at, at)
+            yield from _cross(fps, at, at, radius, forest)
             continue
-        yield from cross(at[(d <= r) & (d > r - radius)], at[(d > r) & (d <= r + radius)])
+        # Partners on the two sides are both near the boundary, by the triangle bound.
+        yield from _cross(fps, at[(d <= r) & (d > r - radius)], at[(d > r) & (d <= r + radius)], radius, forest)
         todo += [inside, outside]
 
 
@@ -265,53 +254,75 @@ def _in_small_groups(fps: np.ndarray, group: np.ndarray, labels: np.ndarray, rad
         yield from zip(x.tolist(), (x + lag).tolist(), strict=True)
 
 
-def _search(routed: DataFrame, radius: int, width: int, tile: int, every: bool = False, turn: int = 0) -> DataFrame:
-    """Links (a, b) between labels, from routed(tree, leaf, label, w0, ...): in each shard, a spanning forest of what is within the radius.
+def _streamed(batches, keys: list[str], columns: list[str]) -> Iterator[list]:
+    """Arrays (or Arrow columns, of lists) of whole groups of rows that are sorted by the keys, a batch or more at a time; the keys first, as one matrix."""
+    import pyarrow as pa
 
-    If routed has a column node, links are between nodes of different labels, and with `every` they are all of those.
-    Each turn of 1 or more takes the members of a large shard in another order, and so spans it by other links.
-    """
+    held: list[list] = []
+
+    def joined(parts: list[list]) -> list:
+        return [np.concatenate(x) if isinstance(x[0], np.ndarray) else pa.concat_arrays(x) for x in zip(*parts, strict=True)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+        plain = lambda c: of(c) if pa.types.is_list(of(c).type) else of(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        key = np.column_stack([plain(k) for k in keys])
+        row = [key, *map(plain, columns)]
+        # The last group may go on in the next batch.
+        cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
+        if not cut and held and (held[-1][0][-1] == key[0]).all():
+            held.append(row)
+            continue
+        if whole := held + ([[x[:cut] for x in row]] if cut else []):
+            yield joined(whole)
+        held = [[x[cut:] for x in row]]
+    if held:
+        yield joined(held)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where the groups of a sorted matrix of keys start, and its end."""
+    return np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))), len(key))
+
+
+def _cells(rows: DataFrame, tiles: Column, own: Column, keep: list[str]) -> DataFrame:
+    """rows for each pair (i, j) of tiles that has their own tile, with columns i, j and own."""
+    cell = lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))
+    each = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), cell)
+    return rows.withColumn("tiles", F.coalesce(tiles, F.lit(1))).withColumn("own", F.pmod(own, F.col("tiles")).cast("int")).withColumn("cell", F.explode(each)).select("cell.i", "cell.j", "own", *keep)
+
+
+def _search(routed: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
+    """Links (a, b) between labels, from routed(tree, leaf, label, w0, ...): in each shard, a spanning forest of what is within the radius."""
     words = _columns(width)
-    named = ["label", "node"] if "node" in routed.columns else ["label"]
     sizes = stored(routed.groupBy("tree", "leaf").count().where(F.col("count") > tile), "shard-sizes")
     if sizes.take(1):
-        tiles = F.ceil(F.col("count") / F.lit(tile // 2)).cast("int")
-        own = F.pmod(F.xxhash64(*words, F.lit(7)), F.col("tiles")).cast("int")
-        cell = lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))
-        routed = (
-            routed.join(sizes.select("tree", "leaf", tiles.alias("tiles")), ["tree", "leaf"], "left")
-            .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-            .withColumn("own", own)
-            .withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), cell)))
-            .select("tree", "leaf", "cell.i", "cell.j", *named, *words)
-        )
+        large = routed.join(sizes.select("tree", "leaf", F.ceil(F.col("count") / F.lit(tile // 2)).cast("int").alias("tiles")), ["tree", "leaf"], "left")
+        routed = _cells(large, F.col("tiles"), F.xxhash64(*words, F.lit(7)), ["tree", "leaf", "label", *words])
     else:
-        routed = routed.select("tree", "leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), *named, *words)
+        routed = routed.select("tree", "leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), "label", *words)
     keys = ["tree", "leaf", "i", "j"]
 
     def search(batches):
         import pyarrow as pa
 
-        def links(key: np.ndarray, labels: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-            """Labels and nodes of links of whole groups: small ones together, large ones each by its own tree."""
-            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            size = np.diff(np.append(start, len(key)))
-            group = np.repeat(np.arange(len(start)), size)
+        def links(key: np.ndarray, labels: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+            """Labels of links of whole groups: small ones together, large ones each by its own tree."""
+            cuts = _starts(key)
+            size = np.diff(cuts)
+            group = np.repeat(np.arange(len(size)), size)
             small = np.flatnonzero(np.repeat(size <= SMALL, size))
             for x, y in _in_small_groups(fps[small], group[small], labels[small], radius):
-                x, y = small[x], small[y]
-                yield int(labels[x]), int(labels[y]), int(nodes[x]), int(nodes[y])
+                yield int(labels[small[x]]), int(labels[small[y]])
             for g in np.flatnonzero(size > SMALL).tolist():
-                at = np.arange(start[g], start[g] + size[g])
-                if turn:
-                    at = np.random.default_rng([SEED, turn]).permutation(at)
-                own = labels[at]
-                if (own == own[0]).all():
-                    continue
-                for x, y in local_links(fps[at], radius, labels=own, every=every):
-                    yield int(own[x]), int(own[y]), int(nodes[at[x]]), int(nodes[at[y]])
-
-        def joins(pairs: Iterator[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+                own = labels[cuts[g] : cuts[g + 1]]
+                if (own != own[0]).any():
+                    for x, y in local_links(fps[cuts[g] : cuts[g + 1]], radius, LEAF if width == 1 else WIDE_LEAF, own):
+                        yield int(own[x]), int(own[y])
+
+        def joins(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             """Without links between labels that this task has joined before; it remembers linked labels only."""
             up: dict[int, int] = {}
 
@@ -321,37 +332,14 @@ def _search(routed: DataFrame, radius: int, width: int, tile: int, every: bool =
                     x = y
                 return x
 
-            for a, b, p, q in pairs:
-                if every:
-                    yield p, q
-                    continue
+            for a, b in pairs:
                 x, y = find(a), find(b)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-                    yield p, q
-
-        def found():
-            held: list[tuple] = []
-            for batch in batches:
-                column = lambda c, b=batch: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
-                key, labels, nodes = np.column_stack([column(k) for k in keys]), column("label"), column(named[-1])
-                fps = np.column_stack([column(w) for w in words]).view(np.uint64)
-                if not len(key):
-                    continue
-                # The last group may go on in the next batch.
-                cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
-                part = [(key[:cut], labels[:cut], nodes[:cut], fps[:cut])] if cut else []
-                if held and (held[-1][0][-1] == key[0]).all() and not cut:
-                    held.append((key, labels, nodes, fps))
-                    continue
-                whole = [np.concatenate(x) for x in zip(*held, *part, strict=True)] if held or part else None
-                if whole:
-                    yield from links(*whole)
-                held = [(key[cut:], labels[cut:], nodes[cut:], fps[cut:])]
-            if held:
-                yield from links(*[np.concatenate(x) for x in zip(*held, strict=True)])
-
-        yield from in_batches(pa.schema([("a", pa.int64()), ("b", pa.int64())]), joins(found()), 20_000)
+                    yield a, b
+
+        found = (pair for key, labels, *fps in _streamed(batches, keys, ["label", *words]) for pair in links(key, labels, np.column_stack(fps).view(np.uint64)))
+        yield from in_batches(pa.schema([("a", pa.int64()), ("b", pa.int64())]), joins(found), 20_000)
 
     return routed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long")
 
@@ -359,18 +347,17 @@ def _search(routed: DataFrame, radius: int, width: int, tile: int, every: bool =
 def _route(uniq: DataFrame, width: int, leaves) -> DataFrame:
     """routed(tree, leaf, label, w0, ...) of uniq(label, w0, ...); leaves(fps) yields (tree, leaf of each fingerprint)."""
     words = _columns(width)
-    named = ["label", "node"] if "node" in uniq.columns else ["label"]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            fps = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[len(named) :]]).view(np.uint64)
-            for tree, leaf in leaves(fps):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), tree, np.int32)), pa.array(leaf), *columns], ["tree", "leaf", *named, *words])
+            label, *fps = [batch.column(i) for i in range(batch.num_columns)]
+            bits = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in fps]).view(np.uint64)
+            for tree, leaf in leaves(bits):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), tree, np.int32)), pa.array(leaf), label, *fps], ["tree", "leaf", "label", *words])
 
-    return uniq.select(*named, *words).mapInArrow(run, "tree int, leaf long, " + ", ".join(f"{c} long" for c in [*named, *words]))
+    return uniq.select("label", *words).mapInArrow(run, "tree int, leaf long, label long, " + ", ".join(f"{c} long" for c in words))
 
 
 def near_links(uniq: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -388,7 +375,7 @@ def near_links(uniq: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE)
 def wide_depth(n: int) -> int:
     """Bits of a tree of the wide forest, so that a shard of n distinct fingerprints stays small.
 
-    Deeper trees make smaller shards but ask for more trees: 41 up to 67 million fingerprints, 228 for 30 billion.
+    Deeper trees make smaller shards but ask for more trees (wide_trees): 101 up to 67 million fingerprints at a reach of 57 bits, 971 for 30 billion.
     """
     return max(14, math.ceil(math.log2(max(1, n) / 4096)))
 
@@ -399,18 +386,17 @@ def wide_trees(n: int, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS, recal
     return math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
-def wide_links(uniq: DataFrame, n: int, trees: range, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS, tile: int = TILE, every: bool = False, turn: int = 0) -> DataFrame:
-    """Links (a, b) between the labels of distinct fingerprints uniq(label, w0, ...), as far as the given trees find them; see _search for nodes."""
+def wide_links(uniq: DataFrame, n: int, trees: range, radius: int = WIDE_RADIUS, width: int = WIDE_WORDS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between the labels of distinct fingerprints uniq(label, w0, ...), as far as the given trees find them."""
     depth = wide_depth(n)
 
     def leaves(fps):
         bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
         for tree in trees:
             chosen = np.random.default_rng([SEED, tree]).permutation(64 * width)[:depth]
-            # One level for each bit: the vantage point's side of it is the inside.
             yield tree, bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(depth, dtype=np.int64))
 
-    return _search(_route(uniq, width, leaves), radius, width, tile, every, turn)
+    return _search(_route(uniq, width, leaves), radius, width, tile)
 
 
 def _labelled(uniq: DataFrame, links: DataFrame, width: int) -> DataFrame:
@@ -447,29 +433,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return base.join(groups, words).select("doc_id", F.col("w0").alias("fp"), "component_id")
 
 
-def _grouped(uniq: DataFrame, links: DataFrame) -> DataFrame:
-    """uniq(node, ...) with the label of each node's component under the links."""
-    roots = stored(connected_components(links), "near-roots")
-    kept = [c for c in uniq.columns if c != "label"]
-    return uniq.drop("label").join(roots, "node", "left").select(F.coalesce("root", "node").alias("label"), *kept)
+def set_links(sets: list[np.ndarray], similarity: float, first: int | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (of distinct numbers) whose resemblance is at least `similarity`.
 
+    With `first`, only pairs of one of the first so many sets with one of the others.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else owner
+    order = np.argsort(token, kind="stable")
+    held = owner[order]  # by token, and among those of a token in the order of the sets
+    cuts = np.searchsorted(token[order], np.arange(int(token.max(initial=-1)) + 2))
+    begin, end = cuts[token], cuts[token + 1]
+    if first is not None:
+        begin = begin + np.bincount(token[owner < first], minlength=len(cuts))[token]
+    of = np.append(0, np.cumsum(size))
+    forest = _Forest(len(sets))
+    for x in range(len(sets) if first is None else first):
+        own = slice(of[x], of[x + 1])
+        met = [held[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True) if b - a > (first is None)]
+        if not met:
+            continue
+        both = np.bincount(np.concatenate(met), minlength=len(sets))
+        near = np.flatnonzero(both >= np.maximum(1, similarity * (size[x] + size - both) * (1 - 1e-9)))
+        for y in near.tolist():
+            if y != x and both[y] / (size[x] + size[y] - both[y]) >= similarity and forest.add(x, y):
+                yield x, y
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose sets(node, shingles) have a resemblance of at least `similarity`."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge")
-    both = F.size(F.array_intersect("sa", "sb"))
-    counted = ordered.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
-    return counted.where(F.col("both") / (F.col("total") - F.col("both")) >= similarity).select("a", "b")
+
+def _verified(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the nodes of members(root, node, rid, size) of one root whose sets(rid, shingles) have a resemblance of at least `similarity`."""
+    totals = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(GROUP_TILE), F.sum("size") / F.lit(GROUP_SHINGLES))).cast("int").alias("tiles"))
+    keys = ["root", "i", "j"]
+    units = _cells(members.join(totals, "root"), F.col("tiles"), F.xxhash64("node", F.lit(7)), ["root", "node", "rid"])
+    whole = units.join(sets.hint("merge"), "rid").select(*keys, "own", "node", "shingles")
+
+    def verify(batches):
+        import pyarrow as pa
+
+        def links():
+            for key, own, nodes, shingles in _streamed(batches, keys, ["own", "node", "shingles"]):
+                values, ends = shingles.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(shingles.value_lengths().to_numpy(zero_copy_only=False)))
+                cuts = _starts(key)
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    # Of two tiles, the pairs across them: those inside a tile are another unit's.
+                    first = None if key[a, 1] == key[a, 2] else int((own[a:b] == key[a, 1]).sum())
+                    for x, y in set_links([values[ends[r] : ends[r + 1]] for r in range(a, b)], similarity, first):
+                        yield int(nodes[a + x]), int(nodes[a + y])
+
+        yield from in_batches(pa.schema([("a", pa.int64()), ("b", pa.int64())]), links(), 20_000)
+
+    return whole.repartition(*keys).sortWithinPartitions(*keys, "own", "node").mapInArrow(verify, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS, reach: int = CANDIDATE_REACH, width: int = WIDE_WORDS) -> DataFrame:
     """(doc_id, component_id) for every row of docs.
 
     Two texts are linked when their sets of shingles have a resemblance of at
-    least `similarity`, which is computed exactly for every pair that the wide
-    forest finds within the radius; component_id is the smallest doc_id reachable
-    over links. Wordless texts are alike. Null ids are as in near_duplicates.
+    least `similarity`, which is computed exactly for every pair that links of
+    the wide forest within the radius bring into one candidate group;
+    component_id is the smallest doc_id reachable over links. Wordless texts are
+    alike. Null ids are as in near_duplicates. Ids are integers.
     """
     words = _columns(width)
     slim = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", F.xxhash64("doc_id", "text"))
@@ -478,27 +502,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow as pa
         import xxhash
 
-        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "rid", "label", *words)])
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "rid", "label", "size", *words)])
 
         def items():
             for d, r, t in rows(batches, "doc_id", "rid", "text"):
                 own = np.unique(shingles_of(t, shingle))
                 # Equal sets have one label, whatever the texts.
-                yield d, r, xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), *_votes(own, width).view(np.int64).tolist()
+                yield d, r, xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), len(own), *_votes(own, width).view(np.int64).tolist()
 
         yield from in_batches(schema, items(), 20_000)
 
-    base = stored(slim.mapInArrow(narrow, "doc_id long, rid long, label long, " + ", ".join(f"{w} long" for w in words)), "near-base")
-    uniq = stored(base.groupBy("label", *words).agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid")).select("label", F.col("label").alias("node"), "rep", "rid", *words), "near-distinct")
+    base = stored(slim.mapInArrow(narrow, "doc_id long, rid long, label long, size long, " + ", ".join(f"{w} long" for w in words)), "near-base")
+    uniq = stored(base.groupBy("label", "size", *words).agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid")), "near-distinct")
     n = uniq.count()
     trees = wide_trees(n, reach, width)
     first = min(FIRST_TREES, trees)
 
-    # Which texts have candidates: those of a spanning forest.
+    # Candidate groups: the first trees' links, and those of the others between what these have joined.
     early = stored(wide_links(uniq, n, range(first), radius, width), "near-early")
-    links = stored(wide_links(_grouped(uniq, early), n, range(first, trees), radius, width).unionByName(early), "near-links")
-    touched = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    some = stored(uniq.join(touched, "node", "left_semi").select(*uniq.columns), "near-candidates")
+    roots = stored(connected_components(early), "near-roots")
+    joined = uniq.join(roots, F.col("label") == F.col("node"), "left").select(F.coalesce("root", "label").alias("label"), *words)
+    late = stored(wide_links(joined, n, range(first, trees), radius, width), "near-late")
+    groups = connected_components(early.unionByName(late))
+    members = stored(groups.join(uniq, F.col("node") == F.col("label")).select("root", "node", "rid", "size"), "near-members")
 
     def listed(batches):
         import pyarrow as pa
@@ -507,24 +533,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for r, t in rows(batches, "rid", "text"):
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([np.unique(shingles_of(t, shingle)).view(np.int64)], schema.field(1).type)], schema=schema)
 
-    wanted = some.select("rid")
-    wanted = F.broadcast(wanted) if some.count() <= BROADCAST_KEYS else wanted.hint("merge")
-    found = slim.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(listed, "rid long, shingles array<long>").dropDuplicates(["rid"])
-    sets = stored(found.join(some.select("rid", "node"), "rid").select("node", "shingles"), "near-sets")
-
-    true = stored(_verified(links, sets, similarity), "near-true")
-    for turn in range(1, ROUNDS + 1):
-        tried = wide_links(_grouped(some, true), n, range(first), radius, width, turn=turn)
-        new = stored(_verified(tried, sets, similarity), "near-true")
-        if not new.take(1):
-            break
-        true = true.unionByName(new)
-    rest = wide_links(_grouped(some, true), n, range(trees), radius, width, every=True)
-    true = true.unionByName(stored(_verified(rest, sets, similarity), "near-true"))
-    named = stored(_grouped(uniq, true), "near-named")
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    groups = stored(named.join(smallest, "label").select("node", "component_id"), "near-groups")
-    return base.join(groups, F.col("label") == F.col("node")).select("doc_id", "component_id")
+    wanted = members.select("rid")
+    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_KEYS else wanted.hint("merge")
+    # Rows that repeat give their set once; copies with ids of their own are no members, but for one.
+    sets = slim.select("rid", "text").join(wanted, "rid", "left_semi").groupBy("rid").agg(F.min("text").alias("text")).mapInArrow(listed, "rid long, shingles array<long>")
+    true = connected_components(_verified(members, stored(sets, "near-sets"), similarity))
+    named = uniq.join(stored(true, "near-true"), F.col("label") == F.col("node"), "left").select(F.coalesce("root", "label").alias("root"), "label", "rep")
+    named = stored(named, "near-named")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = stored(named.join(smallest, "root").select("label", "component_id"), "near-groups")
+    return base.join(found, "label").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -1,11 +1,11 @@
 from __future__ import annotations
 
 import corpus_pipeline as cp
-from tallyloom.llm import decontaminate, langid, simhash
+from tallyloom.llm import decontaminate, langid
 
 from .conftest import EDGE
 from .test_linededup import plain as plain_lines
-from .test_simhash import brute
+from .test_simhash import components, resemblance
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,9 +28,9 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     one = steps["near_dedup"](spark, cut, sf_dir)
     assert one.columns == COLUMNS
-    wide = [(d, int.from_bytes(simhash.words_of(t, simhash.WIDE_SHINGLE, simhash.WIDE_WORDS).tobytes(), "little")) for d, t, _ in got]
-    groups = brute(wide, simhash.WIDE_RADIUS)
-    assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, _, c in groups})
+    links = [(a, b) for a in range(len(got)) for b in range(a) if resemblance(got[a][1], got[b][1]) >= 0.8]
+    groups = components(len(got), links)
+    assert links and sorted(r.doc_id for r in one.collect()) == sorted({got[c][0] for c in groups})
 
     clean = steps["decontamination"](spark, one, sf_dir)
     assert clean.columns == COLUMNS

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import random
 
 import numpy as np
@@ -122,11 +123,13 @@ def test_edge_cases_against_brute_force(edge):
     assert simhash.near_duplicates(edge).count() == len(EDGE)
 
 
-def resemblance(a, b, n=5):
-    def shingles(t):
-        w = t.lower().split()
-        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+@functools.cache
+def shingles(t, n=5):
+    w = t.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
 
+
+def resemblance(a, b):
     return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
 
 
@@ -155,8 +158,9 @@ def test_similar_texts_are_grouped_and_others_left_alone(spark):
 
 def test_trees_are_enough_for_the_recall():
     for n in (10, 10**6, 10**9):
-        together = (1 - simhash.WIDE_RADIUS / 256) ** simhash.wide_depth(n)
-        assert 1 - (1 - together) ** simhash.wide_trees(n) >= simhash.RECALL
+        for reach in (simhash.WIDE_RADIUS, simhash.CANDIDATE_REACH):
+            together = (1 - reach / 256) ** simhash.wide_depth(n)
+            assert 1 - (1 - together) ** simhash.wide_trees(n, reach) >= simhash.RECALL
 
 
 def test_a_large_group_of_near_copies_is_one(spark):
@@ -216,10 +220,38 @@ def test_keep_one_follows_the_true_resemblance(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(got.values()))
 
 
-@pytest.mark.parametrize("size", [30, 300])
-def test_every_link_between_labels(size):
+def components(n, links):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("first", [None, 0, 40, 119])
+def test_links_of_sets_have_the_components_of_all_pairs(first):
     rng = random.Random(22)
-    fps = np.array(near(rng, 12345678901234567, size, 9), np.uint64)
-    labels = np.array([i % 5 for i in range(size)])
-    got = {tuple(sorted(p)) for p in simhash.local_links(fps, 4, leaf=32, labels=labels, every=True)}
-    assert got == {(j, i) for i in range(size) for j in range(i) if labels[i] != labels[j] and int(fps[i] ^ fps[j]).bit_count() <= 4}
+    base = [rng.sample(range(10**6), 40) for _ in range(6)]
+    sets = [np.unique(np.array(rng.sample(b, rng.randint(30, 40)) + [rng.randrange(10**6) for _ in range(rng.randint(0, 6))], np.int64)) for b in base * 20]
+    sets[7], sets[9] = np.zeros(0, np.int64), np.array([5], np.int64)
+    side = (lambda i, j: True) if first is None else (lambda i, j: (i < first) != (j < first))
+    want = [(i, j) for i in range(120) for j in range(i) if side(i, j) and (u := len(a := np.union1d(sets[i], sets[j]))) and (len(sets[i]) + len(sets[j]) - u) / u >= 0.8 and a is not None]
+    got = list(simhash.set_links(sets, 0.8, first))
+    assert {tuple(sorted(x, reverse=True)) for x in got} <= set(want) and len(got) < 120
+    assert components(120, got) == components(120, want) and (first == 0 or want)
+
+
+def test_a_dense_group_below_the_similarity_is_cut_into_tiles(spark, monkeypatch):
+    """Hundreds of texts that are all candidates of one another, most below the similarity: groups by brute force, and a bounded number of links."""
+    monkeypatch.setattr(simhash, "GROUP_TILE", 64)
+    rng = random.Random(23)
+    texts = list(near_copies(rng, 400, 7))
+    texts += [" ".join(t.split()[:-1]) for t in texts[:60]]
+    want = components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if resemblance(texts[a], texts[b]) >= 0.8])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < len(texts) - 40
