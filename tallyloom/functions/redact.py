@@ -27,16 +27,58 @@ PATTERNS = (
     (rf"(?iU)({SECRET_NAME}{WS}*[:=]{WS}*)([^{NOT_WS}'\"#;,)\]}}]{{6,}})", f"$1{PLACEHOLDER}"),
 )
 
+#: For each pattern, in the same order, strings of which a text has to have one for the pattern to match anywhere.
+HINTS = (
+    ("sk-",),
+    ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
+    ("xox",),
+    ("AKIA",),
+    ("AIza",),
+    ("_live_", "_test_"),
+    ("glpat-",),
+    ("npm_",),
+    ("eyJ",),
+    ("-----BEGIN ",),
+    ("-----BEGIN ",),
+    ("://",),
+    (),
+    (),
+)
+#: The same for the assignments of SECRET_NAME, in lower case.
+NAME_HINTS = ("passw", "pwd", "secret", "token", "api", "access", "private", "auth", "credential")
+
 # Names and endings of files that hold credentials or databases.
 BLOCKED_SUFFIXES = (".pem", ".key", ".pfx", ".p12", ".crt", ".cer", ".der", ".jks", ".keystore", ".db", ".sqlite", ".sqlite3", ".mdb", ".bak", ".dump")
 BLOCKED_NAMES = ("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", ".htpasswd", ".netrc", "credentials", "secrets.yml", "secrets.yaml")
 NEVER_OPENED_SUFFIXES = (".pem", ".key", ".pfx", ".p12", ".crt", ".cer", ".der", ".jks", ".keystore", ".asc", ".gpg")
 
 
+def _any_of(col: Column, needles: tuple[str, ...]) -> Column:
+    found = F.contains(col, F.lit(needles[0]))
+    for n in needles[1:]:
+        found = found | F.contains(col, F.lit(n))
+    return found
+
+
+def _named_secret(col: Column) -> Column:
+    """Whether a text may assign to a secret's name. Letters that only equal others when case is ignored (ſ, ı, İ) are taken for those."""
+    low = F.translate(F.lower(col), "\u017f\u0131\u0307", "si")
+    return _any_of(col, ("=", ":")) & _any_of(low, NAME_HINTS)
+
+
 def scrub(col: Column) -> Column:
-    """The text with credentials replaced; null and empty texts pass."""
-    for pattern, replacement in PATTERNS:
-        col = F.regexp_replace(col, F.lit(pattern), F.lit(replacement))
+    """The text with credentials replaced; null and empty texts pass.
+
+    A pattern is tried on texts only that have one of its hints, which is a plain
+    search; each step's text is bound to a variable, so that it is computed once.
+    """
+    for (pattern, replacement), hints in zip(PATTERNS, HINTS, strict=True):
+
+        def step(x: Column, pattern=pattern, replacement=replacement, hints=hints) -> Column:
+            may = _any_of(x, hints) if hints else _named_secret(x)
+            return F.when(may, F.regexp_replace(x, F.lit(pattern), F.lit(replacement))).otherwise(x)
+
+        col = F.get(F.transform(F.array(col), step), F.lit(0))
     return col
 
 

@@ -116,3 +116,11 @@ def families(log: DataFrame, group: str, order: str, tokens: str, head: str, lea
 def repeated_families(found: DataFrame, above: int = 2, most: int = 4) -> DataFrame:
     """The largest families with more than `above` members, `most` for each group, earlier founders first where sizes tie."""
     return top_per_group(found.where(F.col("n") > above), ["group"], [F.desc("n"), F.col("founder")], most)
+
+
+def scripts_of_a_day(log: DataFrame, now: str, hours: int = 24) -> DataFrame:
+    """The families (see families) of the scripts that log(at, fp, head) has for the hours before `now`, in the order of their times."""
+    at = F.expr("try_to_timestamp(at)")
+    recent = log.select(F.lit("log").alias("group"), at.alias("at"), F.array_distinct(F.coalesce("fp", F.array().cast("array<string>"))).alias("fp"), F.coalesce("head", F.lit("")).alias("head"))
+    recent = recent.where(F.col("at") >= F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {hours} HOURS"))
+    return families(recent, "group", "at", "fp", "head")

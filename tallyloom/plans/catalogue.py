@@ -36,9 +36,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import fixtures, repository
+    from . import fixtures, inline, repository
 
-    del fixtures, repository  # imported for what they register
+    del fixtures, inline, repository  # imported for what they register
     return dict(QUERIES)
 
 
@@ -92,12 +92,6 @@ def first_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(last, ["user_id", "event_type"])
 
 
-@query("SELECT regexp_replace(event_type, '-[0-9]{8}$', '') AS model, count(*) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1")
-def per_model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.groupBy(text.model_family(F.col("event_type")).alias("model")).agg(F.count("*").alias("calls"), F.sum(cents(F.col("value"))).alias("cents"))
-
-
 # RE2 reads these classes as Java does.
 CJK, DENSE = text.CJK, text.DENSE
 ESTIMATE = "(c * 1.00::DOUBLE + d * 0.84::DOUBLE + (n - c - d) / 2.4::DOUBLE)"
@@ -124,10 +118,10 @@ def token_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", keep.cast("long").alias("keep"), F.left("text", keep.cast("int")).alias("head"))
 
 
-def _duck_scrub() -> str:
+def duck_scrub(column: str = "text") -> str:
     """The redaction chain for DuckDB: \\w and \\b spelled out, one pattern for each quote instead of a back-reference."""
     word = r"[\p{L}\p{N}_]"
-    out = "text"
+    out = column
     for pattern, replacement in redact.PATTERNS:
         flags = "g" + ("i" if "i" in pattern.split(")")[0] else "") + ("s" if "s" in pattern.split(")")[0] else "")
         body = pattern.split(")", 1)[1] if pattern.startswith("(?") and pattern[2] in "isU" else pattern
@@ -143,7 +137,7 @@ def _duck_scrub() -> str:
     return out
 
 
-@query(f"SELECT doc_id, {_duck_scrub()} AS text FROM documents")
+@query(f"SELECT doc_id, {duck_scrub()} AS text FROM documents")
 def redact_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redact.scrub(F.col("text")).alias("text"))
 
@@ -167,26 +161,6 @@ def find_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(text.contains_any_case(F.col("text"), NEEDLE)).select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.line_no", "x.line")
 
 
-@query("""SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, [left(rtrim(x), 160) for x in l[1:8]] AS head FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
-def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n", -1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.transform(F.slice(lines, 1, 8), lambda x: F.left(F.rtrim(x), F.lit(160))).alias("head"))
-
-
-CUSTOMER_COLUMNS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-
-
-@query("""SELECT 5 AS columns, count(*) AS data_rows, 'c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment' AS header, '5=' || count(*) AS widths FROM customer""")
-def csv_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as lines of comma-separated values, and the shape of those lines: header, rows, widths by frequency."""
-    line = F.concat_ws(",", *[F.col(c).cast("string") for c in CUSTOMER_COLUMNS])
-    widths = table(spark, sf_dir, "customer").select(F.size(F.split(line, ",")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    # A row per width: as many as the data is ragged.
-    got = widths.agg(F.sum("n").alias("data_rows"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "w"))).alias("h"))
-    shown = F.transform(F.slice("h", 1, 3), lambda x: F.concat_ws("=", x["w"].cast("string"), (-x["n"]).cast("string")))
-    return got.select(F.lit(len(CUSTOMER_COLUMNS)).alias("columns"), "data_rows", F.lit(", ".join(CUSTOMER_COLUMNS)).alias("header"), F.array_join(shown, ", ").alias("widths"))
-
-
 @query("""SELECT '{k: int}' AS shape, count(*) AS n FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')""")
 def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.peek import json_shape_of
@@ -249,20 +223,26 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.top_per_group(people, ["r_name"], [F.desc("c_acctbal"), F.col("c_custkey")], 60).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders
-FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 120""")
+EDGES = """e AS (SELECT DISTINCT l_partkey AS target, o_custkey AS importer, o_orderstatus = 'P' AS test FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_partkey),
+u AS (SELECT target, coalesce(list(importer ORDER BY importer) FILTER (WHERE NOT test), []) AS used_by, coalesce(list(importer ORDER BY importer) FILTER (WHERE test), []) AS tests FROM e GROUP BY 1)"""
+
+
+def impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as importers of the parts they order; an order that is pending counts as a test."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("target"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("target", F.col("o_custkey").alias("importer"), "o_orderstatus")
+
+
+@query(f"""WITH {EDGES} SELECT target, CAST(len(used_by) AS INTEGER) AS n_used_by, CAST(len(tests) AS INTEGER) AS n_tests, used_by[1:6] AS used_by, tests[1:3] AS tests
+FROM u ORDER BY len(used_by) DESC, len(tests) DESC, target LIMIT 120""")
 def impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
-    got = lines.groupBy(F.col("l_partkey").alias("part")).agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_orderkey").alias("orders"))
-    return got.orderBy(F.desc("suppliers"), F.desc("orders"), "part").limit(graph.MAX_ENTRIES)
+    return graph.ranked(graph.reverse_edges(impact_edges(spark, sf_dir), F.col("o_orderstatus") == "P"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey AS target, o_custkey AS importer, o_orderstatus = 'P' AS test FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_partkey)
-SELECT target, coalesce(list(importer ORDER BY importer) FILTER (WHERE NOT test), []) AS used_by, coalesce(list(importer ORDER BY importer) FILTER (WHERE test), []) AS tests FROM e GROUP BY 1""")
+@query(f"WITH {EDGES} SELECT * FROM u")
 def impact_used_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("target")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("target", F.col("o_custkey").alias("importer"), "o_orderstatus")
-    return graph.reverse_edges(edges, F.col("o_orderstatus") == "P")
+    return graph.reverse_edges(impact_edges(spark, sf_dir), F.col("o_orderstatus") == "P")
 
 
 PATH, PAGE = r"^[a-z]+://([^?#]+)", r"\.html$"
@@ -286,11 +266,6 @@ def import_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve(paths.select("path"), paths.select(F.col("path").alias("importer"), F.explode(names).alias("name")))
 
 
-@query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS name FROM pages""")
-def import_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("name"))
-
-
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type""")
 def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
@@ -389,12 +364,36 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(sets, "doc_id", "tokens")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT source, doc_id, {TOKENS} AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE len({TOKENS}) >= 8),
+w AS (SELECT source, doc_id, len(t) AS n, unnest(t) AS w FROM s),
+p AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM w x JOIN w y ON x.source = y.source AND x.w = y.w AND x.doc_id < y.doc_id GROUP BY ALL),
+near AS (SELECT source, b, list(a ORDER BY a) AS earlier FROM p WHERE shared::DOUBLE / (na + nb - shared) >= 0.55 GROUP BY 1, 2),
+k AS (SELECT s.source, s.doc_id, s.i, coalesce(near.earlier, []) AS earlier FROM s LEFT JOIN near ON near.source = s.source AND near.b = s.doc_id),
+f AS (SELECT source, i, [doc_id] AS founders, doc_id AS joined FROM k WHERE i = 1
+  UNION ALL SELECT k.source, k.i, CASE WHEN len(list_filter(f.founders, lambda x: list_contains(k.earlier, x))) > 0 THEN f.founders ELSE list_append(f.founders, k.doc_id) END,
+    coalesce(list_filter(f.founders, lambda x: list_contains(k.earlier, x))[1], k.doc_id) FROM f JOIN k ON k.source = f.source AND k.i = f.i + 1),
+g AS (SELECT source AS "group", joined AS founder, count(*) AS n FROM f GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT "group", founder, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY n DESC, founder) AS rank FROM g) WHERE rank <= 4""")
 def script_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source as a log of scripts, in the order of their ids."""
     docs = table(spark, sf_dir, "documents")
     log = docs.select("source", "doc_id", text.identifiers(F.col("text")).alias("tokens"), text.headline(F.col("text"), 70).alias("head")).where(F.size("tokens") >= similarity.MIN_TOKENS)
-    return similarity.repeated_families(similarity.families(log, "source", "doc_id", "tokens", "head"), above=1)
+    return similarity.repeated_families(similarity.families(log, "source", "doc_id", "tokens", "head"), above=1).drop("head")
+
+
+@query("SELECT lang, count(*) AS files FROM documents GROUP BY 1")
+def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repository import language_counts
+
+    return language_counts(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def pending_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the cells of a run that can be resumed, of which the labelled ones are done."""
+    from ..sources.workspace import pending
+
+    return pending(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("""SELECT p_partkey, coalesce(nullif(rtrim(left(trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-'), 50), '-'), ''), 'entry') AS slug FROM part""")

@@ -7,16 +7,15 @@ is written down.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redact, text
+from ..sources.durable import fresh_path
 from ..sources.peek import peek_files
+from ..sources.transcripts import usage_by_model, usage_records, weekly_usage
 from . import repository
-from .catalogue import query, table
+from .catalogue import cents, duck_scrub, query, table
 
 COMMANDS = (
     "cd /srv && docker compose up -d; FOO=1 BAR=2 pytest tests/payment -x | tail -5",
@@ -110,17 +109,55 @@ def repo_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.impact(repository.sources(tree(spark)))
 
 
-@query()
-def repo_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repository.index_lines(tree(spark))
+def _cost(shown: str, whole: str) -> str:
+    """The note on what a summary costs, in SQL: tokens of what is shown and of the whole text, halves to even."""
+    tokens = lambda x: f"format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))"
+    ratio = f"CASE WHEN {shown} > 0 AND {whole} > 2 * {shown} THEN ', ' || {tokens(f'{whole} / {shown}')} || 'x less than' ELSE ' of' END"
+    return f"'_[~' || {tokens(shown)} || ' tokens' || {ratio} || ' the whole file''s ~' || {tokens(whole)} || ']_'"
+
+
+def _estimate(text_sql: str) -> str:
+    return f"(len(regexp_extract_all({text_sql}, '{text.CJK}')) * 1.00::DOUBLE + len(regexp_extract_all({text_sql}, '{text.DENSE}')) * 0.84::DOUBLE + (length({text_sql}) - len(regexp_extract_all({text_sql}, '{text.CJK}')) - len(regexp_extract_all({text_sql}, '{text.DENSE}'))) / 2.4::DOUBLE)"
+
+
+def _size(n: str) -> str:
+    return f"CASE WHEN {n} < 1024 THEN printf('%.0fB', {n}::DOUBLE) WHEN {n} < 1048576 THEN printf('%.1fKB', {n} / 1024.0::DOUBLE) ELSE printf('%.1fMB', {n} / 1048576.0::DOUBLE) END"
 
 
-@query()
+@query(f"""WITH e AS (SELECT 'event' || event_id || '.json' AS path, props, strlen(props) AS n FROM events),
+b AS (SELECT path, props, '# ' || path || chr(10) || {_size('n')} || chr(10) || chr(10) || 'structure (keys and types only, no values):' || chr(10) || '  {{k: int}}' AS body FROM e),
+c AS (SELECT path, body, {_estimate('body')} AS spent, {_estimate('props')} AS whole FROM b)
+SELECT path, body || chr(10) || chr(10) || {_cost('spent', 'whole')} AS summary FROM c""")
 def peek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a text file and every event's properties as a JSON file."""
+    """Every event's properties as a JSON file."""
     events = table(spark, sf_dir, "events").select(F.concat(F.lit("event"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").cast("binary").alias("content"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return peek_files(events.unionByName(docs))
+    return peek_files(events)
+
+
+@query(f"""WITH d AS (SELECT 'doc' || doc_id || '.txt' AS path, text, CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END AS t FROM documents),
+l AS (SELECT path, text, CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(t, chr(10)) END AS lines FROM d),
+h AS (SELECT path, text, '# ' || path || chr(10) || {_size('strlen(text)')} || chr(10) || chr(10) || format('{{:,}}', len(lines)) || ' lines' || chr(10) || 'first lines:'
+  || coalesce(array_to_string([chr(10) || '  ' || i || ': ' || left(rtrim(lines[i], ' ' || chr(9) || chr(13)), 160) for i in range(1, least(len(lines), 8) + 1)], ''), '') AS raw FROM l),
+s AS (SELECT path, text, {duck_scrub('raw')} AS body FROM h),
+k AS (SELECT path, text, CASE WHEN length(body) > 959 THEN left(body, 959) || chr(10) || chr(10) || '_[truncated at 400 tokens — narrow it with a search]_' ELSE body END AS body FROM s),
+c AS (SELECT path, body, {_estimate('body')} AS spent, {_estimate('text')} AS whole FROM k)
+SELECT path, body || chr(10) || chr(10) || {_cost('spent', 'whole')} AS summary FROM c""")
+def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text file: its size, lines, first lines, and what the summary costs. (None of the tables' texts has a dense script.)"""
+    return peek_files(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content")))
+
+
+@query("""WITH r AS (SELECT c_mktsegment || '.csv' AS path, c_custkey || ',' || c_name || ',' || c_nationkey || ',' || CAST(round(c_acctbal * 100) AS BIGINT) AS line, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer),
+t AS (SELECT path, count(*) AS n FROM r GROUP BY 1)
+SELECT t.path, '4 columns, ' || format('{:,}', t.n) || ' data rows' AS shape, 'columns: `key`, `name`, `nation`, `cents`' AS header, list('  ' || replace(line, ',', ' | ') ORDER BY r.n) AS sample FROM r JOIN t ON r.path = t.path WHERE r.n <= 3 GROUP BY t.path, t.n""")
+def csv_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as a CSV file for each segment, and the summary of each file."""
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("c_custkey", "c_name", "c_nationkey")], cents(F.col("c_acctbal")).cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line"))))
+    content = F.concat(F.lit("key,name,nation,cents\n"), F.array_join(F.transform(rows, lambda x: x["line"]), "\n"), F.lit("\n"))
+    made = table(spark, sf_dir, "customer").groupBy(F.concat("c_mktsegment", F.lit(".csv")).alias("path")).agg(content.cast("binary").alias("content"))
+    said = peek_files(made).select("path", F.split("summary", "\n").alias("l"))
+    return said.select("path", F.get("l", F.lit(3)).alias("shape"), F.get("l", F.lit(4)).alias("header"), F.slice("l", 7, 3).alias("sample"))
 
 
 @query("""SELECT * FROM (VALUES ('id_rsa', TRUE, TRUE), ('id_rsa.pub', TRUE, TRUE), ('id_dsa', TRUE, TRUE), ('id_dsa_old', FALSE, TRUE), ('a/server.PEM', TRUE, TRUE), ('data.sqlite', TRUE, FALSE), ('credentials.json', TRUE, TRUE), ('secrets.yml', TRUE, TRUE), ('.netrc', TRUE, TRUE), ('notes.asc', FALSE, TRUE), ('main.py', FALSE, FALSE), ('keys.py', FALSE, FALSE)) AS t(path, blocked, never_opened)""")
@@ -135,8 +172,16 @@ w AS (SELECT CAST(isoyear(ts) AS BIGINT) AS iso_year, CAST(week(ts) AS BIGINT) A
 SELECT *, 0::BIGINT AS cache_read, 0::BIGINT AS cache_write, output::DOUBLE / calls AS output_per_call, 0::DOUBLE AS cache_read_per_call, 0::DOUBLE AS cache_write_per_call FROM w""")
 def usage_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly usage from transcripts: the events written as JSON lines and read back as such."""
-    from ..sources.transcripts import usage_records, weekly_usage
+    return weekly_usage(_records(spark, sf_dir))
 
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id + CAST(round(value) AS BIGINT) DESC, event_id) AS k FROM events)
+SELECT event_type AS model, count(*) AS calls, 0::BIGINT AS cache_read FROM r WHERE k = 1 GROUP BY 1""")
+def per_model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_by_model(_records(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     line = F.to_json(
         F.struct(
@@ -145,16 +190,31 @@ def usage_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.concat("event_type", F.lit("-20240101")).alias("model"), F.struct(F.col("event_id").alias("input_tokens"), F.round("value").cast("long").alias("output_tokens")).alias("usage")).alias("message"),
         )
     )
-    return weekly_usage(usage_records(e.select(line.alias("value"), F.lit("x").alias("path"), F.col("event_id").alias("ord"))))
-
-
-@query()
+    return usage_records(e.select(line.alias("value"), F.lit("x").alias("path"), F.col("event_id").alias("ord")))
+
+
+WATCHED = """WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "at", CAST(ts AS DATE) AS day, event_type, event_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S'), event_id) AS n FROM events),
+t AS (SELECT user_id, day, max(n) AS last, list(event_type ORDER BY n) AS s FROM e GROUP BY 1, 2),
+a AS (SELECT user_id, day, last, s[greatest(1, len(s) - 11):] AS s FROM t), i AS (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM a), j AS (SELECT *, unnest(range(i + 2, len(s) + 1)) AS j FROM i),
+whole AS (SELECT DISTINCT user_id, day, last, s[i:j] AS sequence FROM j WHERE len(list_distinct(s[i:j])) >= 3),
+p AS (SELECT x.user_id, x.n, x."at", x.day, list(y.event_type ORDER BY y.n) AS s FROM e x JOIN e y ON x.user_id = y.user_id AND x.day = y.day AND y.n <= x.n GROUP BY ALL),
+pa AS (SELECT user_id, n, day, s[greatest(1, len(s) - 11):] AS s FROM p), pi AS (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM pa), pj AS (SELECT *, unnest(range(i + 2, len(s) + 1)) AS j FROM pi),
+part AS (SELECT DISTINCT user_id, n, day, s[i:j] AS sequence FROM pj WHERE len(list_distinct(s[i:j])) >= 3),
+c AS (SELECT e.user_id, e.n, w.sequence, w.day FROM e JOIN whole w ON w.user_id = e.user_id AND w.day < e.day UNION ALL SELECT user_id, n, sequence, day FROM part),
+r AS (SELECT user_id, n, sequence, count(DISTINCT day) AS days FROM c GROUP BY ALL HAVING count(DISTINCT day) >= 3),
+b AS (SELECT user_id, n, sequence, days FROM (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY len(sequence) DESC, days DESC, sequence) AS k FROM r) WHERE k = 1),
+f AS (SELECT e.user_id, e.n, e."at", b.sequence, b.days, lag(b.sequence) OVER (PARTITION BY e.user_id ORDER BY e.n) AS earlier FROM e LEFT JOIN b ON b.user_id = e.user_id AND b.n = e.n)
+SELECT CAST(user_id AS VARCHAR) AS repo, "at", sequence, days FROM f WHERE sequence IS NOT NULL AND (earlier IS NULL OR earlier <> sequence)"""
+
+
+# The oracle looks at whole histories, as no user of the tables has more than the 400 steps that the detector keeps.
+@query(WATCHED)
 def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The workflow detector over the events as a stream of steps, one repository per user."""
     from ..streaming.watch import drained, watch_workflows
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/watch-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="watch-")
+    folder = fresh_path(spark, "watch")
     path = f"{sf_dir}/events.parquet"
     # As a pattern, since a stream's plain path has to be a folder.
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")

@@ -1,13 +1,15 @@
 """The relations of a repository, built from a table of its files, and the documents rendered from them.
 
 Input is files(path, content) with optional size and repository columns, as the
-file_tree source gives them. Files are read and parsed once, in one map; what
-follows is joins and aggregations over the declarations found.
+file_tree source gives them. `parsed` reads every file once, in one map over the
+contents, into one long table of declarations; every relation is a selection of
+it, joined and aggregated. Each of them takes files, or that table in their place,
+so that a caller that asks for several has the contents looked at once only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, plain, redact, text
 from ..operators import graph, relational
+from ..sources.durable import stored
 from ..sources.tree import MAX_BYTES, SKIPPED
 
 NAME = "struct<name:string,doc:string,methods:array<string>>"
-SOURCE = f"path string, lang string, chars long, tokens double, lines long, doc string, describable boolean, imports array<string>, funcs array<struct<sig:string,doc:string>>, classes array<{NAME}>, consts array<string>, warn_count int, warn_msg string"
+SOURCE = f"lang string, chars long, tokens double, lines long, doc string, describable boolean, imports array<string>, funcs array<struct<sig:string,doc:string>>, classes array<{NAME}>, consts array<string>, warn_count int, warn_msg string"
 MAX_ROUTES, MAX_ENV, MAX_PER_KIND, MAX_PER_LIST, MAX_TABLES, MAX_CONSTS, MAX_METHODS = 60, 50, 14, 8, 40, 40, 30
 ASSET_DIRS = 12
 #: Folders that other scans leave out, all below the root.
@@ -58,115 +61,146 @@ def _decoded(raw) -> str:
     return bytes(raw or b"").decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def sources(files: DataFrame) -> DataFrame:
-    """One row per source file (columns of SOURCE). A file that can't be parsed has a row without symbols."""
-    size = F.col("size") if "size" in files.columns else F.length("content")
-    chosen = own(files).withColumn("lang", language_of(F.col("path"))).where(F.col("lang").isNotNull() & ~inside(F.col("path"), SKIPPED) & ~redact.is_blocked(F.col("path")) & (size <= MAX_BYTES))
+#: What `parsed` tells of a file, by what it is looked at for: `source` rows have one struct, the others a name and what belongs to it.
+DECLARED = f"what string, path string, rank int, n int, name string, kind string, summary string, items array<string>, source struct<{', '.join(f.replace(' ', ':', 1) for f in SOURCE.split(', '))}>"
+SQL_SUFFIXES, YAML_SUFFIXES = (".sql", ".prisma"), (".yaml", ".yml")
+MANIFESTS = ("Dockerfile", "Jenkinsfile", "Makefile", "ansible.cfg")
+
 
-    def one(path: str, lang: str, raw) -> tuple:
-        source = _decoded(raw)
-        try:
-            s = extract.symbols(source, lang)
-            described = bool(source.strip()) and not s["empty"]
-        except Exception:  # noqa: BLE001  one bad file costs one row's symbols
-            s, described = {"doc": "", "funcs": [], "classes": [], "consts": [], "warn_count": 0, "warn_msg": None}, False
-        return path, lang, len(source), plain.estimate(source), source.count("\n") + 1, s["doc"], described, extract.imports(source, lang), s["funcs"], s["classes"], s["consts"], s["warn_count"], s["warn_msg"]
+def _looked_at(files: DataFrame) -> dict[str, Column]:
+    """For what each file is parsed, by its path and size alone."""
+    path, name, suffix = F.col("path"), basename(F.col("path")), suffix_of(F.col("path"))
+    size = F.col("size") if "size" in files.columns else F.length("content")
+    code = language_of(path).isNotNull() & ~inside(path, SKIPPED)
+    kept = ~inside(path, VENDORED)
+    env = (name == ".env") | F.startswith(name, F.lit(".env.")) | F.endswith(name, F.lit(".env")) | (name == "env.example")
+    schema = inside(F.lower(path), extract.SCHEMA_FOLDERS) | F.lower(name).isin(*extract.SCHEMA_FILES)
+    return {
+        "source": code & (size <= MAX_BYTES),
+        "schema": suffix.isin(*SQL_SUFFIXES) & ~inside(path, (".git", "node_modules", "vendor", "__pycache__")) | code & schema,
+        "route": code & language_of(path).isin(*extract.ROUTE_LANGUAGES) | kept & suffix.isin(".proto", ".json", *YAML_SUFFIXES),
+        "setting": code | kept & env,
+        "ignored": path == ".gitignore",
+        "deploy": (suffix.isin(*YAML_SUFFIXES) | name.isin(*MANIFESTS) | F.startswith(name, F.lit("Dockerfile."))) & ~inside(path, UNDEPLOYED),
+    }
+
+
+def _source(lang: str, source: str) -> tuple:
+    """The columns of SOURCE. A file that can't be parsed has no symbols."""
+    try:
+        s = extract.symbols(source, lang)
+        described = bool(source.strip()) and not s["empty"]
+    except Exception:  # noqa: BLE001  one bad file costs one row's symbols
+        s, described = extract.file_symbols(""), False
+    funcs = [{"sig": a, "doc": b} for a, b in s["funcs"]]
+    classes = [{"name": a, "doc": b, "methods": m} for a, b, m in s["classes"]]
+    return lang, len(source), plain.estimate(source), source.count("\n") + 1, s["doc"], described, extract.imports(source, lang), funcs, classes, s["consts"], s["warn_count"], s["warn_msg"]
+
+
+def _routes(path: str, suffix: str, source: str) -> tuple[int, list[tuple[str, str]]]:
+    """The rank of a file among those that declare routes, and its (method, route)s: code, then contracts, then API descriptions."""
+    if suffix == ".proto":
+        return 1, [("gRPC", f"{service}/{method}") for service, method in extract.rpcs(source)]
+    if suffix in (".json", *YAML_SUFFIXES):
+        return 2, list(extract.spec_routes(path, source)) if extract.is_spec(path, source) else []
+    return 0, list(extract.routes(source, extract.LANGUAGE[suffix]))
+
+
+def _declared(path: str, lang: str | None, source: str, wanted: set[str]) -> Iterator[tuple]:
+    """The rows of DECLARED for one file, but for its path."""
+    suffix, name = "." + path.rpartition(".")[2].lower(), path.rpartition("/")[2]
+    if "source" in wanted:
+        yield "source", 0, 0, None, None, None, None, _source(lang, source)
+    if "schema" in wanted:
+        for n, (kind, table, summary, columns) in enumerate(extract.declarations(source, suffix)):
+            yield kind, int(suffix not in SQL_SUFFIXES), n, table, None, summary, columns, None
+    if "route" in wanted:
+        rank, found = _routes(path, suffix, source)
+        for n, (method, route) in enumerate(found):
+            yield "route", rank, n, route, method, None, None, None
+    if "setting" in wanted:
+        own = extract.is_env_file(name)
+        for n, setting in enumerate(extract.settings(source, own)):
+            yield "setting", int(not own), n, setting, None, None, None, None
+        if name == ".env":
+            yield "live", 0, 0, path, None, None, None, None
+    if "ignored" in wanted and ".env" in source:
+        yield "ignored", 0, 0, ".env", None, None, None, None
+    if "deploy" in wanted:
+        for group, kind, what in extract.deployment(path, source):
+            yield "deploy", 0, 0, what, kind, group, None, None
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """All declarations (DECLARED) of a repository's files, credentials' files left out; a table of them is returned as it is."""
+    if "what" in files.columns:
+        return files
+    looked = _looked_at(files)
+    names = [f.split()[0] for f in SOURCE.split(", ")]
 
     def run(batches):
-        names = [f.split()[0] for f in ("path", "lang", "chars", "tokens", "lines", "doc", "describable", "imports", "funcs", "classes", "consts", "warn_count", "warn_msg")]
         for pdf in batches:
-            rows = [one(*x) for x in zip(pdf["path"], pdf["lang"], pdf["content"], strict=True)]
-            out = pd.DataFrame(rows, columns=names)
-            out["funcs"] = [[{"sig": a, "doc": b} for a, b in x] for x in out["funcs"]]
-            out["classes"] = [[{"name": a, "doc": b, "methods": m} for a, b, m in x] for x in out["classes"]]
-            yield out
+            found = []
+            for path, lang, wanted, content in zip(pdf["path"], pdf["lang"], pdf["wanted"], pdf["content"], strict=True):
+                for what, rank, n, name, kind, summary, items, source in _declared(path, lang, _decoded(content), set(wanted)):
+                    found.append((what, path, rank, n, name, kind, summary, items, source and dict(zip(names, source, strict=True))))
+            yield pd.DataFrame(found, columns=["what", "path", "rank", "n", "name", "kind", "summary", "items", "source"])
 
-    return chosen.select("path", "lang", "content").mapInPandas(run, SOURCE)
+    wanted = F.array_compact(F.array(*[F.when(condition, what) for what, condition in looked.items()]))
+    chosen = own(files).where(~redact.is_blocked(F.col("path"))).select("path", language_of(F.col("path")).alias("lang"), wanted.alias("wanted"), "content")
+    return chosen.where(F.size("wanted") > 0).mapInPandas(run, DECLARED)
 
 
-def _found(files: DataFrame, condition: Column, each: Callable, schema: str) -> DataFrame:
-    """Rows that `each(path, text)` yields for the files that meet a condition."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in each(p, _decoded(c))], columns=names)
-
-    return own(files).where(condition & ~redact.is_blocked(F.col("path"))).select("path", "content").mapInPandas(run, schema)
+def sources(files: DataFrame) -> DataFrame:
+    """One row per source file: path and the columns of SOURCE. A file that can't be parsed has a row without symbols."""
+    return parsed(files).where("what = 'source'").select("path", "source.*")
 
 
-DECLARED = "name string, columns array<string>, kind string, rank int, n int, source string, summary string"
+def language_counts(indexed: DataFrame) -> DataFrame:
+    """(lang, files) of source files, most first, by name where counts tie."""
+    return indexed.groupBy("lang").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "lang")
 
 
 def tables(files: DataFrame) -> DataFrame:
     """(name, source, summary, columns) of every table, view and model, by lower-case name."""
-    path = F.col("path")
-    sql = suffix_of(path).isin(".sql", ".prisma") & ~inside(path, (".git", "node_modules", "vendor", "__pycache__"))
-    code = language_of(path).isNotNull() & ~inside(path, SKIPPED) & (inside(F.lower(path), extract.SCHEMA_FOLDERS) | F.lower(basename(path)).isin(*extract.SCHEMA_FILES))
-
-    def each(p: str, source: str):
-        suffix = "." + p.rpartition(".")[2].lower()
-        for n, (kind, name, summary, columns) in enumerate(extract.declarations(source, suffix)):
-            yield name, columns, kind, int(suffix not in (".sql", ".prisma")), n, p, summary
-
-    found = _found(files, sql | code, each, DECLARED).withColumn("key", F.lower("name"))
-    order = F.struct("rank", "source", "n")
-    merged = relational.fill_in(found.where("kind = 'table'").select("key", order.alias("ord"), "name", "source", "summary", "columns"), "key", "ord", "summary", "columns")
-    parts = found.where("kind = 'partition'").groupBy("key").agg(F.count("*").alias("parts"))
+    found = parsed(files).where("what IN ('table', 'partition')").withColumn("key", F.lower("name"))
+    order = F.struct("rank", F.col("path").alias("source"), "n")
+    declared = found.where("what = 'table'").select("key", order.alias("ord"), "name", F.col("path").alias("source"), "summary", F.col("items").alias("columns"))
+    merged = relational.fill_in(declared, "key", "ord", "summary", "columns")
+    parts = found.where("what = 'partition'").groupBy("key").agg(F.count("*").alias("parts"))
     note = F.concat(F.lit("partitioned, "), F.col("parts").cast("string"), F.lit(" partitions"))
     full = F.when(F.col("parts").isNull(), F.col("summary")).when(F.col("summary") == "", note).otherwise(F.concat(F.col("summary"), F.lit(" ("), note, F.lit(")")))
     return merged.join(parts, "key", "left").select("name", "source", full.alias("summary"), "columns")
 
 
 def routes(files: DataFrame) -> DataFrame:
-    """(method, path, source): code first, then contracts, then API descriptions; the last one that names a route wins."""
-    path = F.col("path")
-    code = language_of(path).isin(*extract.ROUTE_LANGUAGES) & ~inside(path, SKIPPED)
-    contract = suffix_of(path).isin(".proto") & ~inside(path, VENDORED)
-    spec = suffix_of(path).isin(".yaml", ".yml", ".json") & ~inside(path, VENDORED)
-
-    def each(p: str, source: str):
-        suffix = "." + p.rpartition(".")[2].lower()
-        if suffix == ".proto":
-            found, rank = [("gRPC", f"{service}/{method}") for service, method in extract.rpcs(source)], 1
-        elif suffix in (".yaml", ".yml", ".json"):
-            found, rank = list(extract.spec_routes(p, source)) if extract.is_spec(p, source) else [], 2
-        else:
-            found, rank = list(extract.routes(source, extract.LANGUAGE[suffix])), 0
-        # Of contracts, the first file that declares a service is its source; elsewhere the last one wins.
-        yield from ((method, route, p, rank, n) for n, (method, route) in enumerate(found))
-
-    found = _found(files, code | contract | spec, each, "method string, route string, source string, rank int, n int")
-    http = relational.last_wins(found.where("rank <> 1").select("method", "route", "source", F.struct("rank", "source", "n").alias("ord")), ["method", "route"], "ord")
+    """(method, route, source): code first, then contracts, then API descriptions; the last one that names a route wins."""
+    order = F.struct("rank", F.col("path").alias("source"), "n")
+    found = parsed(files).where("what = 'route'").select(F.col("kind").alias("method"), F.col("name").alias("route"), F.col("path").alias("source"), "rank", order.alias("ord"))
+    http = relational.last_wins(found.where("rank <> 1").drop("rank"), ["method", "route"], "ord")
+    # Of contracts, the first file that declares a service is its source.
     grpc = found.where("rank = 1").groupBy("method", "route").agg(F.min("source").alias("source"))
     return http.select("method", "route", "source").unionByName(grpc)
 
 
 def settings(files: DataFrame) -> DataFrame:
     """(name, source) of every setting: names only, the first file that has it, settings files before code."""
-    path = F.col("path")
-    name = basename(path)
-    env = ((name == ".env") | F.startswith(name, F.lit(".env.")) | F.endswith(name, F.lit(".env")) | (name == "env.example")) & ~inside(path, VENDORED)
-    code = language_of(path).isNotNull() & ~inside(path, SKIPPED)
+    order = F.struct("rank", F.col("path").alias("source"), "n")
+    found = parsed(files).where("what = 'setting'").select("name", F.col("path").alias("source"), order.alias("ord"))
+    return relational.first_wins(found, ["name"], "ord").select("name", "source")
 
-    def each(p: str, source: str):
-        is_env = extract.is_env_file(p.rpartition("/")[2])
-        yield from ((name, p, int(not is_env), n) for n, name in enumerate(extract.settings(source, is_env)))
 
-    found = _found(files, env | code, each, "name string, source string, rank int, n int")
-    return relational.first_wins(found.select("name", "source", F.struct("rank", "source", "n").alias("ord")), ["name"], "ord").select("name", "source")
+def unsafe_settings(files: DataFrame) -> DataFrame:
+    """(path) of the live settings files (.env) that the root's .gitignore does not name."""
+    found = parsed(files)
+    safe = found.where("what = 'ignored'").select("name").distinct()
+    return found.where("what = 'live'").select("path", F.lit(".env").alias("name")).join(safe, "name", "left_anti").select("path").distinct()
 
 
 def deployed(files: DataFrame) -> DataFrame:
     """(group, kind, name, source) of what the manifests deploy; a name once per group and kind, from its first file."""
-    path, name = F.col("path"), basename(F.col("path"))
-    manifest = suffix_of(path).isin(".yaml", ".yml") | name.isin("Dockerfile", "Jenkinsfile", "Makefile", "ansible.cfg") | F.startswith(name, F.lit("Dockerfile."))
-
-    def each(p: str, source: str):
-        yield from ((group, kind, name, p) for group, kind, name in extract.deployment(p, source))
-
-    found = _found(files, manifest & ~inside(path, UNDEPLOYED), each, "group string, kind string, name string, source string")
-    return found.groupBy("group", "kind", "name").agg(F.min("source").alias("source"))
+    found = parsed(files).where("what = 'deploy'").select(F.col("summary").alias("group"), "kind", "name", "path")
+    return found.groupBy("group", "kind", "name").agg(F.min("path").alias("source"))
 
 
 def stored_material(files: DataFrame, indexed: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -208,41 +242,61 @@ def _listed(array: Column, most: int, full: Column | None = None) -> Column:
     return F.concat(F.array_join(F.transform(F.slice(array, 1, most), _code), ", "), F.when(more > 0, F.concat(F.lit(" _+"), more.cast("string"), F.lit("_"))).otherwise(""))
 
 
-def index_lines(files: DataFrame) -> DataFrame:
+def _more(section: str, counted: DataFrame, most: int, where: str) -> DataFrame:
+    """A line that says how many of a section's rows are shown, if not all are; counted(pos, total) has where it stands."""
+    line = F.concat(F.lit(f"Showing {most} of "), F.col("total").cast("string"), F.lit(where))
+    return counted.where(F.col("total") > most).select(*_row(section, F.col("pos"), line))
+
+
+def index_lines(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(section, pos, line): every line of the repository's index and detail, credentials redacted.
 
     Lines of a section sort by pos; sections are, in order, index, tables, routes,
-    settings, deployment, material, impact, detail. Sections without rows are absent.
+    settings, deployment, material, impact, detail. Sections without rows are
+    absent. Contents are parsed once, into a table in the shared folder, unless
+    that is given as `found`.
     """
-    src = sources(files).cache()
+    found = stored(parsed(files), "declared") if found is None else found
+    src = sources(found)
     counts = F.concat_ws("/", F.when(F.size("funcs") > 0, F.concat(F.size("funcs").cast("string"), F.lit("fn"))), F.when(F.size("classes") > 0, F.concat(F.size("classes").cast("string"), F.lit("cls"))))
     shape = F.concat(F.col("lines").cast("string"), F.lit("L"), F.when(counts != "", F.concat(F.lit(", "), counts)).otherwise(""))
     summary = F.when(F.coalesce("doc", F.lit("")) == "", "—").otherwise(F.col("doc"))
     index = src.select(*_row("index", F.col("path"), F.concat(F.lit("- **"), _code(F.col("path")), F.lit("** ("), shape, F.lit(") — "), summary)))
 
-    t = tables(files)
+    t = tables(found)
     desc = F.when(F.col("summary") != "", F.concat(F.lit(" — "), F.col("summary"))).otherwise("")
-    table_rows = t.select(*_row("tables", F.lower("name"), F.concat(F.lit("- **"), _code(F.col("name")), F.lit("**"), desc, F.lit("  _("), F.col("source"), F.lit(")_"))))
+    if t.limit(MAX_TABLES + 1).count() <= MAX_TABLES:
+        table_rows = t.select(*_row("tables", F.lower("name"), F.concat(F.lit("- **"), _code(F.col("name")), F.lit("**"), desc, F.lit("  _("), F.col("source"), F.lit(")_"))))
+    else:
+        # A large schema is named only; its detail says the rest.
+        told = t.select(*_row("tables", F.concat(F.lit("1"), F.lower("name")), F.concat(F.lit("- "), _code(F.col("name")))))
+        head = F.concat(F.lit("Names only, of "), F.col("n").cast("string"), F.lit(" tables and models; each is told in the detail."))
+        table_rows = t.agg(F.count("*").alias("n")).select(*_row("tables", F.lit("0"), head)).unionByName(told)
 
     grpc = F.when(F.col("method") == "gRPC", "2").otherwise("1")
-    kept = relational.top_per_group(routes(files).withColumn("protocol", grpc), ["protocol"], [F.col("route"), F.col("method")], MAX_ROUTES)
+    routed = routes(found).withColumn("protocol", grpc)
+    kept = relational.top_per_group(routed, ["protocol"], [F.col("route"), F.col("method")], MAX_ROUTES)
+    route_more = _more("routes", routed.groupBy(F.col("protocol").alias("pos")).agg(F.count("*").alias("total")), MAX_ROUTES, "; search the sources for the rest.")
     route_rows = kept.select(*_row("routes", F.concat("protocol", F.lpad(F.col("rank").cast("string"), 4, "0")), F.concat(F.lit("- `"), F.rpad("method", 6, " "), F.lit(" "), F.col("route"), F.lit("`  _("), F.col("source"), F.lit(")_"))))
 
-    env = settings(files).orderBy("name").limit(MAX_ENV)
-    env_rows = env.select(*_row("settings", F.col("name"), F.concat(F.lit("- "), _code(F.col("name")))))
+    env = settings(found)
+    env_rows = env.orderBy("name").limit(MAX_ENV).select(*_row("settings", F.concat(F.lit("1"), F.col("name")), F.concat(F.lit("- "), _code(F.col("name")))))
+    env_more = _more("settings", env.agg(F.lit("0").alias("pos"), F.count("*").alias("total")), MAX_ENV, ".")
+    warned = F.concat(F.lit("> "), _code(F.col("path")), F.lit(" is not in .gitignore: such a file mostly holds live credentials, which a commit would publish."))
+    env_rows = env_rows.unionByName(unsafe_settings(found).select(*_row("settings", F.concat(F.lit("2"), F.col("path")), warned)))
 
-    d = deployed(files)
+    d = deployed(found)
     groups = d.groupBy("group", "kind").agg(F.sort_array(F.collect_set("name")).alias("names"))
     cap = lambda n: F.concat(F.lit("- **"), F.when(F.col("group") == "k8s", F.col("kind")).otherwise(F.col("group")), F.lit("** ("), F.size("names").cast("string"), F.lit(") — "), _listed(F.col("names"), n), F.when(F.col("kind").isin(*NAMES_ONLY), "  _(names only)_").otherwise(""))
     place = F.when(F.col("group") == "k8s", F.concat(F.lit("1"), F.lpad((99999 - F.size("names")).cast("string"), 5, "0"), F.col("kind"))).otherwise(F.concat(F.lit("2"), F.col("group")))
     deploy_rows = groups.select(*_row("deployment", place, F.when(F.col("group").isin("k8s", "compose"), cap(MAX_PER_KIND)).otherwise(cap(MAX_PER_LIST))))
 
-    stored = stored_material(files, src, d.select(F.col("source").alias("path")).distinct()).orderBy(F.desc("bytes"), "top").limit(ASSET_DIRS)
+    material = stored_material(files, src, d.select(F.col("source").alias("path")).distinct()).orderBy(F.desc("bytes"), "top").limit(ASSET_DIRS)
     kinds = F.array_join(F.transform("kinds", lambda k: F.replace(k, F.lit("="), F.lit(" ×"))), ", ")
     machine = F.filter(F.transform("kinds", lambda k: F.split_part(k, F.lit("="), F.lit(1))), lambda k: k.isin(*NOTABLE))
     tail = F.when(F.size(machine) > 0, F.concat(F.lit("  _(machine-readable: "), F.array_join(machine, ", "), F.lit(")_"))).otherwise("")
     size = text.human_bytes(F.col("bytes"), ("B", "KB", "MB", "GB", "TB"))
-    material_rows = _ranked(stored, F.desc("bytes"), F.col("top")).select(*_row("material", F.lpad(F.col("pos").cast("string"), 2, "0"), F.concat(F.lit("- **"), _code(F.concat("top", F.lit("/"))), F.lit("** — "), F.col("count").cast("string"), F.lit(" files, "), size, F.lit(" — "), kinds, tail)))
+    material_rows = _ranked(material, F.desc("bytes"), F.col("top")).select(*_row("material", F.lpad(F.col("pos").cast("string"), 2, "0"), F.concat(F.lit("- **"), _code(F.concat("top", F.lit("/"))), F.lit("** — "), F.col("count").cast("string"), F.lit(" files, "), size, F.lit(" — "), kinds, tail)))
 
     top = _ranked(graph.ranked(impact(src)), F.desc("n_used_by"), F.desc("n_tests"), F.col("target"))
     used = F.when(F.col("n_used_by") > 0, F.concat(F.lit("used by "), _listed(F.col("used_by"), graph.MAX_USED_BY, F.col("n_used_by"))))
@@ -264,7 +318,7 @@ def index_lines(files: DataFrame) -> DataFrame:
     file_detail = src.select(*_row("detail", F.concat(F.lit("2"), F.col("path")), body))
 
     out = index
-    for part in (table_rows, route_rows, env_rows, deploy_rows, material_rows, impact_rows, table_detail, file_detail):
+    for part in (table_rows, route_more, route_rows, env_more, env_rows, deploy_rows, material_rows, impact_rows, table_detail, file_detail):
         out = out.unionByName(part)
     return out
 
@@ -272,13 +326,18 @@ def index_lines(files: DataFrame) -> DataFrame:
 TITLES = {"index": "Quick Index", "tables": "Data model", "routes": "API surface", "settings": "Configuration", "deployment": "Deployment", "material": "Stored material (not source)", "impact": "Impact", "detail": "Full Detail"}
 
 
-def document(files: DataFrame, title: str) -> str:
-    """The whole index as one text, for one repository: what is asked for as a file is made on the driver."""
-    lines = {}
-    for r in index_lines(files).orderBy("pos").collect():
-        lines.setdefault(r["section"], []).append(r["line"])
-    parts = [f"# Architecture map — {title}"]
-    for section, heading in TITLES.items():
-        if section in lines:
-            parts.append(f"## {heading}\n\n" + "\n".join(lines[section]))
-    return "\n\n".join(parts) + "\n"
+def document_lines(files: DataFrame, title: str, found: DataFrame | None = None) -> DataFrame:
+    """(section, pos, line) of the whole document, headings included, in the order in which it is read: sorted by range, never on one task."""
+    spark = files.sparkSession
+    lines = stored(index_lines(files, found), "index-lines")
+    place = F.array_position(F.array(*map(F.lit, TITLES)), F.col("section")).cast("int")
+    body = lines.select(place.alias("section"), F.concat(F.lit("1"), "pos").alias("pos"), "line")
+    there = lines.select(place.alias("section")).distinct()
+    headings = spark.createDataFrame([(n, "0", f"\n## {heading}\n") for n, heading in enumerate(TITLES.values(), 1)], "section int, pos string, line string").join(F.broadcast(there), "section", "left_semi")
+    top = spark.createDataFrame([(0, "0", f"# Architecture map — {title}")], "section int, pos string, line string")
+    return top.unionByName(headings).unionByName(body).orderBy("section", "pos")
+
+
+def document(files: DataFrame, title: str, found: DataFrame | None = None) -> str:
+    """The whole index as one text, for one repository: what is asked for as a file is made on the driver. document_lines() may be written by partition instead."""
+    return "\n".join(r["line"] for r in document_lines(files, title, found).toLocalIterator()) + "\n"

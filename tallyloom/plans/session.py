@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plain import estimate, scrub
 from ..functions.text import described
 from ..operators import stores
 from ..sources import transcripts
-from ..sources.workspace import Workspace
+from ..sources.workspace import Workspace, read_log
 from .budget import rolled_up
 
 MAX_STATE, MAX_LISTED = 4000, 12
@@ -70,9 +72,14 @@ def session_block(spark: SparkSession, ws: Workspace) -> str:
 
 def usage_report(spark: SparkSession, folder: str, marker: str | None = None) -> str:
     """Weekly usage of a folder of transcripts, and before against after the marker date's week if there are weeks on both sides."""
+    return usage_text(transcripts.read_lines(spark, folder), marker)
+
+
+def usage_text(lines: DataFrame, marker: str | None = None) -> str:
+    """The usage report of transcript lines(value, path, ord)."""
     from ..operators.relational import before_after
 
-    records = transcripts.usage_records(transcripts.read_lines(spark, folder))
+    records = transcripts.usage_records(lines)
     weeks = transcripts.weekly_usage(records).cache()
     rows = weeks.orderBy("iso_year", "iso_week").collect()
     if not rows:
@@ -91,10 +98,14 @@ def usage_report(spark: SparkSession, folder: str, marker: str | None = None) ->
     return "\n".join(out)
 
 
-def index_report(spark: SparkSession, ws: Workspace, folders: list[str]) -> str:
-    """Build and write the index of a repository, or of some of its folders, and say what it covers and costs."""
+def index_report(spark: SparkSession, ws: Workspace, folders: list[str], out: str | None = None, measure: bool = False) -> str:
+    """Build and write the index of a repository, or of some of its folders, and say what it covers and costs.
+
+    `out` names another file for it, `measure` adds the count of files by language.
+    """
     from ..sources.tree import read_tree
-    from .repository import document, sources
+    from ..sources.durable import forget, stored
+    from .repository import document, language_counts, parsed, sources
 
     ws.prune()
     files = None
@@ -103,8 +114,9 @@ def index_report(spark: SparkSession, ws: Workspace, folders: list[str]) -> str:
         part = read_tree(spark, str(ws.root / folder))
         part = part if base == "." else part.withColumn("path", F.concat(F.lit(f"{base}/"), F.col("path")))
         files = part if files is None else files.unionByName(part)
-    files = files.where(~F.startswith("path", F.lit(f"{ws.folder.name}/"))).dropDuplicates(["path"]).cache()
-    totals = sources(files).agg(
+    files = files.where(~F.startswith("path", F.lit(f"{ws.folder.name}/"))).dropDuplicates(["path"])
+    found = stored(parsed(files), "declared")
+    totals = sources(found).agg(
         F.count("*").alias("files"),
         F.sum("tokens").alias("tokens"),
         F.count_if("describable").alias("total"),
@@ -112,20 +124,40 @@ def index_report(spark: SparkSession, ws: Workspace, folders: list[str]) -> str:
         F.count_if(F.col("warn_count") > 0).alias("warned"),
     ).first()
     if not totals["files"]:
-        files.unpersist()
         return "no recognised source files"
-    text = document(files, ws.root.resolve().name)
-    files.unpersist()
-    ws.write_index(text)
+    languages = language_counts(sources(found)).collect() if measure else []
+    text = document(files, ws.root.resolve().name, found)
+    forget(found)
+    if out is None:
+        ws.write_index(text)
+    else:
+        Path(out).write_text(text, encoding="utf-8")
     index = estimate(text.partition(DETAIL)[0])
     percent = 100 * totals["described"] / max(1, totals["total"])
-    out = [
+    said = [
         f"{totals['files']} source file(s), {totals['tokens']:,.0f} tokens of code",
         f"index {index:,.0f} tokens ({100 * index / max(1.0, totals['tokens']):.1f}% of the source), detail {estimate(text) - index:,.0f}",
         f"described [{'#' * int(percent / 5):.<20}] {totals['described']}/{totals['total']} files ({percent:.0f}%)",
     ]
     if totals["warned"]:
-        out.append(f"{totals['warned']} file(s) raised a warning while being parsed")
+        said.append(f"{totals['warned']} file(s) raised a warning while being parsed")
     budget = float(ws.settings()["index_token_budget"])
-    out.append(f"over the budget of {budget:,.0f}: sessions get it rolled up by directory" if index > budget else f"within the budget of {budget:,.0f}")
-    return "\n".join(out)
+    said.append(f"over the budget of {budget:,.0f}: sessions get it rolled up by directory" if index > budget else f"within the budget of {budget:,.0f}")
+    if languages:
+        said.append("languages " + ", ".join(f"{r['lang']} {r['files']}" for r in languages))
+    return "\n".join(said)
+
+
+def digest(families: list, most: int = 4) -> str:
+    """What was written again and again in the last day, from rows (n, head) of repeated families, largest first; empty if nothing was."""
+    if not families:
+        return ""
+    lines = [f"- {r['n']}x  `{scrub(r['head'])[:70]}`" for r in families[:most]]
+    return "\n".join(["## Repeated this session", "", *lines, "", "What is worth keeping: `promote FILE NAME --desc TEXT` makes it one command."])
+
+
+def session_digest(spark: SparkSession, log: str, now: str) -> str:
+    """The digest of a log of scripts (JSON lines of at, fp and head) for the 24 hours before `now`."""
+    from ..operators.similarity import repeated_families, scripts_of_a_day
+
+    return digest(repeated_families(scripts_of_a_day(read_log(spark, log, "at string, fp array<string>, head string"), now)).orderBy("rank").collect())

@@ -11,7 +11,8 @@ from collections.abc import Iterable
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FOLDER = ".tallyloom"
 FOLDERS = ("skills", "tools", "logs", "sessions", "memory/decisions", "memory/lessons", "memory/rules")
@@ -136,6 +137,19 @@ class Workspace:
         return held
 
 
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log of JSON lines, a file or a folder of them, as a table in no order; lines that are no JSON object are left out."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return parsed.where("r._bad IS NULL").select("r.*").drop("_bad")
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, text) of the Markdown files right below a folder; bytes that are no UTF-8 are replaced."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
 def pending(cells: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The cells of a resumable run that have no result yet."""
     return cells.join(done.select(*keys).distinct(), keys, "left_anti")
