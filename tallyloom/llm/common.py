@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where a session names no shared folder (tests on one machine), one is made once.
-_LOCAL: list[str] = []
+from ..sources.durable import forget, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tallyloom-"))
-    return _LOCAL[0]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts the lineage at a table every executor can read again, so a lost
-    executor costs no recomputation, and it gives the planner real sizes, from
-    which Spark decides on its own whether a side may be broadcast.
-    """
-    path = f"{shared_dir(df.sparkSession)}/tallyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["forget", "fresh", "in_batches", "pick", "rows", "shared_dir", "stored", "table"]
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round is two partial aggregations and two equi-joins on the node; the
     many-neighbour side of a join may be skewed, which AQE splits. Rounds grow
     with the logarithm of the longest path. Every round's links are a table in
-    the shared folder. Self links and nulls are ignored; no links give no rows.
+    the shared folder until the next one is. Self links and nulls are ignored; no links give no rows.
     """
     edges = stored(
         links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -35,6 +35,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
+        earlier = edges
         edges = stored(
             small.where("b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -42,6 +43,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct(),
             "cc",
         )
+        forget(earlier)
         after = _signature(edges)
         if after == before:
             break

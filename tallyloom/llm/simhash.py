@@ -55,7 +55,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, in_batches, pick, rows, stored
+from .common import forget, fresh, in_batches, pick, rows, stored
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -525,6 +525,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     late = stored(wide_links(joined, n, range(first, trees), radius, width), "near-late")
     groups = connected_components(early.unionByName(late))
     members = stored(groups.join(uniq, F.col("node") == F.col("label")).select("root", "node", "rid", "size"), "near-members")
+    forget(early, roots, late)
 
     def listed(batches):
         import pyarrow as pa
@@ -537,11 +538,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = F.broadcast(wanted) if members.count() <= BROADCAST_KEYS else wanted.hint("merge")
     # Rows that repeat give their set once; copies with ids of their own are no members, but for one.
     sets = slim.select("rid", "text").join(wanted, "rid", "left_semi").groupBy("rid").agg(F.min("text").alias("text")).mapInArrow(listed, "rid long, shingles array<long>")
-    true = connected_components(_verified(members, stored(sets, "near-sets"), similarity))
-    named = uniq.join(stored(true, "near-true"), F.col("label") == F.col("node"), "left").select(F.coalesce("root", "label").alias("root"), "label", "rep")
+    sets = stored(sets, "near-sets")
+    true = stored(connected_components(_verified(members, sets, similarity)), "near-true")
+    forget(sets, members)
+    named = uniq.join(true, F.col("label") == F.col("node"), "left").select(F.coalesce("root", "label").alias("root"), "label", "rep")
     named = stored(named, "near-named")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = stored(named.join(smallest, "root").select("label", "component_id"), "near-groups")
+    forget(uniq, true, named)
     return base.join(found, "label").select("doc_id", "component_id")
 
 
