@@ -104,6 +104,56 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+# What SQL can say of the operators above: their exact parts, through the same operators.
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op6_pii."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr({_DIGITS}, length({_DIGITS}) + 1 - i, 1)::INT ELSE substr({_DIGITS}, length({_DIGITS}) + 1 - i, 1)::INT * 2 - 9 * (substr({_DIGITS}, length({_DIGITS}) + 1 - i, 1)::INT > 4)::INT END)) % 10 = 0"
+BASE_SQL = rf"""
+SELECT doc_id,
+  len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n_email,
+  len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(p AS HUGEINT), 999) <= 255)))) AS n_ip,
+  len(list_filter(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card,
+  len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 9 AND 15)) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_syncmers says of the texts themselves."""
+    return op7_syncmers(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first(text) OVER (ORDER BY doc_id, text)) AS after FROM t)
+SELECT doc_id, length(text) AS n_chars, sha256(left(text, length(text) - length(text) // 4) || left(after, length(text) // 4)) AS edited_sha256 FROM n
+"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op10_mixing; targets to a thousandth, since sums of doubles depend on their order."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+#: Sources reach their limit in the order of limit by weight; whoever comes after the last one shares what is left.
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(3 * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+  sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s),
+c AS (SELECT *, (total - used)::DOUBLE / rest AS share, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS place FROM o),
+f AS (SELECT min(place) AS place, arg_min(share, place) AS share FROM c WHERE share * w <= 3 * source_size)
+SELECT d.doc_id, d.size, c.source_size, round(CASE WHEN f.place IS NULL OR c.place < f.place THEN 3.0::DOUBLE * c.source_size ELSE f.share * c.w END, 3) AS target
+FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source CROSS JOIN f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash,
@@ -116,9 +166,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_language,
         op10_mixing,
+        base_personal_data,
+        edited_texts,
+        mix_targets,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "base_personal_data": BASE_SQL, "edited_texts": EDITED_SQL, "mix_targets": TARGETS_SQL}
