@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,13 +75,16 @@ def scrub(col: Column) -> Column:
     search; each step's text is bound to a variable, so that it is computed once.
     """
     for (pattern, replacement), hints in zip(PATTERNS, HINTS, strict=True):
+        col = F.get(F.transform(F.array(col), _step(pattern, replacement, hints)), F.lit(0))
+    return col
 
-        def step(x: Column, pattern=pattern, replacement=replacement, hints=hints) -> Column:
-            may = _any_of(x, hints) if hints else _named_secret(x)
-            return F.when(may, F.regexp_replace(x, F.lit(pattern), F.lit(replacement))).otherwise(x)
 
-        col = F.get(F.transform(F.array(col), step), F.lit(0))
-    return col
+def _step(pattern: str, replacement: str, hints: tuple[str, ...]) -> Callable[[Column], Column]:
+    def step(x: Column) -> Column:
+        may = _any_of(x, hints) if hints else _named_secret(x)
+        return F.when(may, F.regexp_replace(x, F.lit(pattern), F.lit(replacement))).otherwise(x)
+
+    return step
 
 
 def _basename(path: Column) -> Column:

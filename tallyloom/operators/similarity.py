@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.durable import stored
 from .relational import top_per_group
 
 SIMILAR = 0.55
@@ -15,10 +16,14 @@ MIN_TOKENS = 8
 
 
 def classes(sets: DataFrame, key: str, tokens: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(key, g, t) of the rows with enough tokens: the sorted 64-bit hashes of their tokens, and the least key that has the same ones."""
+    """(key, g, t) of the rows with enough tokens: the sorted 64-bit hashes of their tokens, and the least key that has the same ones.
+
+    The sets are computed once, into a table in the shared folder; equal ones are told by 128 bits of hash.
+    """
     hashed = F.array_sort(F.transform(tokens, lambda x: F.xxhash64(x)))
-    rows = sets.select(F.col(key).alias("key"), hashed.alias("t")).where(F.size("t") >= min_tokens)
-    return rows.join(rows.groupBy("t").agg(F.min("key").alias("g")), "t").select("key", "g", "t")
+    same = F.struct(F.xxhash64("t"), F.xxhash64(F.lit(7), "t"))
+    rows = stored(sets.select(F.col(key).alias("key"), hashed.alias("t")).where(F.size("t") >= min_tokens).withColumn("same", same), "token-sets")
+    return rows.join(rows.groupBy("same").agg(F.min("key").alias("g")), "same").select("key", "g", "t")
 
 
 def similar_pairs(sets: DataFrame, key: str, tokens: str, least: float = SIMILAR, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -36,12 +41,15 @@ def similar_pairs(sets: DataFrame, key: str, tokens: str, least: float = SIMILAR
     share, are dropped before the sets are compared.
     """
     member = classes(sets, key, tokens, min_tokens)
-    groups = member.where("key = g").select("g", "t").distinct()
+    groups = stored(member.where("key = g").groupBy("g").agg(F.first("t").alias("t")), "token-classes")
     n = F.size("t")
     each = groups.select("g", n.alias("n"), F.explode("t").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, "token").groupBy("g", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("by_rarity"))
     prefix = ranked.select("g", "n", F.posexplode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))).alias("i", "token"))
+    # Tokens that are in one prefix only join with nothing; of the others, rows are written once for both sides of the join.
+    prefix = stored(prefix, "token-prefixes")
+    prefix = stored(prefix.join(prefix.groupBy("token").agg(F.count("*").alias("in")).where(F.col("in") > 1), "token", "left_semi"), "token-prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
     close = (F.col("y.n") >= F.col("x.n") * F.lit(least) - 1e-9) & (F.col("x.n") >= F.col("y.n") * F.lit(least) - 1e-9)
     # What two sets can share from their first common token on has to reach what the similarity asks for.
