@@ -37,24 +37,29 @@ def similar_pairs(sets: DataFrame, key: str, tokens: str, least: float = SIMILAR
     Exact, by prefix filtering: with every set sorted by how rare its tokens are,
     two sets that similar share a token among the first n - ceil(least * n) + 1 of
     each. Only those are joined, so frequent tokens, which come last, hardly ever
-    meet; sizes that differ too much, and tokens too far on to leave enough to
-    share, are dropped before the sets are compared.
+    meet. What two prefixes share is counted: beyond it, two sets share no more
+    than the rest of the one whose prefix ends earlier, so nearly all pairs that
+    are not similar go before any sets are compared.
     """
     member = classes(sets, key, tokens, min_tokens)
     groups = stored(member.where("key = g").groupBy("g").agg(F.first("t").alias("t")), "token-classes")
     n = F.size("t")
     each = groups.select("g", n.alias("n"), F.explode("t").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, "token").groupBy("g", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("by_rarity"))
-    prefix = ranked.select("g", "n", F.posexplode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))).alias("i", "token"))
+    ranked = each.join(rarity, "token").groupBy("g", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity"))
+    p = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int")
+    last = F.element_at("by_rarity", F.col("p"))
+    prefix = ranked.withColumn("p", p).select("g", "n", "p", last["df"].alias("df"), last["token"].alias("last"), F.explode(F.transform(F.slice("by_rarity", F.lit(1), F.col("p")), lambda x: x["token"])).alias("token"))
     # Tokens that are in one prefix only join with nothing; of the others, rows are written once for both sides of the join.
     prefix = stored(prefix, "token-prefixes")
     prefix = stored(prefix.join(prefix.groupBy("token").agg(F.count("*").alias("in")).where(F.col("in") > 1), "token", "left_semi"), "token-prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
     close = (F.col("y.n") >= F.col("x.n") * F.lit(least) - 1e-9) & (F.col("x.n") >= F.col("y.n") * F.lit(least) - 1e-9)
-    # What two sets can share from their first common token on has to reach what the similarity asks for.
-    rest = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= (F.col("x.n") + F.col("y.n")) * F.lit(least / (1 + least)) - 1e-9
-    candidates = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & close & rest).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
+    # Whichever prefix ends at the rarer token shares no more than its rest beyond what the two prefixes share.
+    rest = F.when(F.struct("x.df", "x.last") <= F.struct("y.df", "y.last"), F.col("x.n") - F.col("x.p")).otherwise(F.col("y.n") - F.col("y.p"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & close)
+    met = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count("*").alias("shared"), F.first(rest).alias("rest"), F.first(F.col("x.n") + F.col("y.n")).alias("total"))
+    candidates = met.where(F.col("shared") + F.col("rest") >= F.col("total") * F.lit(least / (1 + least)) - 1e-9).select("a", "b")
     left, right = groups.select(F.col("g").alias("a"), F.col("t").alias("ta")), groups.select(F.col("g").alias("b"), F.col("t").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     scored = candidates.join(left, "a").join(right, "b").withColumn("similarity", both / (F.size("ta") + F.size("tb") - both)).where(F.col("similarity") >= least)
