@@ -32,7 +32,7 @@ FOLDS = 5
 #: Strength of the penalty that sets weights to zero.
 SPARSITY = 4.0
 #: Words in more than this share of the examples tell nothing, since a long text has all of them, unless one class has them ALIKE times as often as the other.
-COMMON, ALIKE = 0.2, 1.5
+COMMON, ALIKE = 0.2, 3.0
 #: Words that tell kinds of toxicity, as beginnings of lower-cased words.
 KINDS = {
     "insult": ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbecil", "dumm", "idiota", "estupid", "tonto", "crétin"),
@@ -42,15 +42,15 @@ KINDS = {
 
 
 class Chain:
-    """Fitted categories in order, each with its model and threshold."""
+    """Fitted categories in order, each with its model and threshold. The first `kinds` of them don't tell which words are dull."""
 
-    def __init__(self, names: list[str], index: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, folds: int = FOLDS):
+    def __init__(self, names: list[str], index: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, folds: int = FOLDS, kinds: int = 0):
         self.names, self.buckets, self.models, self.thresholds = names, buckets, [], []
         dull = np.zeros(buckets, bool)
         if len(index):
             count = lambda at: np.bincount(np.concatenate([index[i] for i in at]) if len(at) else np.zeros(0, np.int64), minlength=buckets) / max(1, len(at))
             dull = count(np.arange(len(index))) > COMMON
-            for j in range(len(names)):
+            for j in range(kinds, len(names)):
                 yes, no = count(np.flatnonzero(y[:, j] > 0.5)), count(np.flatnonzero(y[:, j] <= 0.5))
                 dull &= (yes <= ALIKE * no) & (no <= ALIKE * yes)
         index = [i[~dull[i]] for i in index]
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     whole = y[:, names.index(of or names[-1])] if len(names) else np.zeros(len(y))
     told = np.array([np.asarray(x, bool) for x in pdf["told"]], bool).reshape(len(pdf), len(kinds))
     divided = np.where(whole[:, None] > 0.5, np.where(told, 1.0, np.nan), whole[:, None])
-    return Chain([*kinds, *names], [np.asarray(x, np.int64) for x in pdf["index"]], np.hstack([divided, y]), buckets, folds)
+    return Chain([*kinds, *names], [np.asarray(x, np.int64) for x in pdf["index"]], np.hstack([divided, y]), buckets, folds, len(kinds))
 
 
 def tells(text: str | None, beginnings: tuple[str, ...]) -> bool:
