@@ -9,7 +9,8 @@ fingerprints or 400 steps, whatever the stream's length.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,29 +36,46 @@ def fingerprint(text: str) -> frozenset[str]:
     return frozenset(x.lower() for x in IDENTIFIER.findall(text))
 
 
-def runs(history: list[tuple[str, str]]) -> list[list[str]]:
-    """Steps by run: a run ends where the day changes."""
-    out: list[list[str]] = []
-    day = None
-    for at, step in history:
-        if at[:10] != day or not out:
-            out.append([])
-        day = at[:10]
-        out[-1].append(step)
-    return out
+def sequences_of(run: list[str]) -> set[tuple[str, ...]]:
+    """The contiguous sequences of enough distinct steps among a run's last ones."""
+    tail = run[-WINDOW:]
+    spans = ((a, b) for a in range(len(tail)) for b in range(a + MIN_LENGTH, len(tail) + 1))
+    return {tuple(tail[a:b]) for a, b in spans if len(set(tail[a:b])) >= MIN_LENGTH}
+
+
+class Repeats:
+    """Which sequences came round in how many runs, kept up as steps come in; a run ends where the day changes.
+
+    Only the open run's sequences are looked at anew for a step. Ended runs are
+    counted, and counted again only when the oldest steps are dropped.
+    """
+
+    def __init__(self, history: Iterable[tuple[str, str]] = (), most: int = KEPT_STEPS):
+        self.most, self.history = most, []
+        self.add(history)
+
+    def add(self, steps: Iterable[tuple[str, str]]) -> None:
+        new = list(steps)
+        whole = [*self.history, *new]
+        if len(whole) > self.most or not self.history:
+            self.ended, self.open, self.day = Counter(), [], None
+            new = whole = whole[-self.most :]
+        self.history = whole
+        for at, step in new:
+            if at[:10] != self.day:
+                self.ended.update(sequences_of(self.open))
+                self.open, self.day = [], at[:10]
+            self.open.append(step)
+
+    def best(self) -> tuple[tuple[str, ...], int] | None:
+        """The longest sequence that came round in enough runs, and in how many; then the most frequent, then the first by content."""
+        now = sequences_of(self.open)
+        often = ((s, n + (s in now)) for s, n in self.ended.items() if n >= REPEAT_AT - (s in now))
+        return min(often, key=lambda x: (-len(x[0]), -x[1], x[0]), default=None)
 
 
 def repeated(history: list[tuple[str, str]]) -> tuple[tuple[str, ...], int] | None:
-    """The longest sequence that came round in enough runs, and in how many; then the most frequent, then the first by content."""
-    days: dict[tuple[str, ...], set[int]] = {}
-    for n, run in enumerate(runs(history)):
-        tail = run[-WINDOW:]
-        for a in range(len(tail)):
-            for b in range(a + MIN_LENGTH, len(tail) + 1):
-                if len(set(tail[a:b])) >= MIN_LENGTH:
-                    days.setdefault(tuple(tail[a:b]), set()).add(n)
-    often = [(s, len(d)) for s, d in days.items() if len(d) >= REPEAT_AT]
-    return min(often, key=lambda x: (-len(x[0]), -x[1], x[0]), default=None)
+    return Repeats(history, max(1, len(history))).best()
 
 
 SCRIPT_OUT = "repo string, at string, head string, since string, count long"
@@ -92,15 +110,15 @@ def watch_workflows(events: DataFrame) -> DataFrame:
     """Notices (WORKFLOW_OUT) from a stream of events(repo, at, ord, steps): one whenever the best sequence becomes another."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history = list(zip(*map(list, state.get), strict=True)) if state.exists else []
-        best, said = repeated(history), []
+        held = Repeats(zip(*map(list, state.get), strict=True) if state.exists else ())
+        best, said = held.best(), []
         for r in pd.concat(list(batches)).sort_values(["at", "ord"], kind="stable").itertuples(index=False):
-            history = [*history, *((r.at, s) for s in r.steps)][-KEPT_STEPS:]
-            now = repeated(history)
+            held.add((r.at, s) for s in r.steps)
+            now = held.best()
             if now and (best is None or now[0] != best[0]):
                 said.append((key[0], r.at, list(now[0]), now[1]))
             best = now
-        state.update(([a for a, _ in history], [s for _, s in history]))
+        state.update(([a for a, _ in held.history], [s for _, s in held.history]))
         yield pd.DataFrame(said, columns=["repo", "at", "sequence", "days"])
 
     return events.groupBy("repo").applyInPandasWithState(step, WORKFLOW_OUT, "ats array<string>, steps array<string>", "append", GroupStateTimeout.NoTimeout)
