@@ -28,11 +28,13 @@ from .linear import WORD, Hasher, Linear, best_threshold, sigmoid
 
 TRAIN_DOCS = 6_000
 BUCKETS = 1 << 18
-FOLDS = 5
+FOLDS = 3
 #: Strength of the penalty that sets weights to zero.
 SPARSITY = 4.0
 #: Words in more than this share of the examples tell nothing, since a long text has all of them, unless one class has them ALIKE times as often as the other.
 COMMON, ALIKE = 0.2, 3.0
+#: Words in fewer examples than this get no weight.
+RARE = 3
 #: Words that tell kinds of toxicity, as beginnings of lower-cased words.
 KINDS = {
     "insult": ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbecil", "dumm", "idiota", "estupid", "tonto", "crétin"),
@@ -53,6 +55,8 @@ class Chain:
             for j in range(kinds, len(names)):
                 yes, no = count(np.flatnonzero(y[:, j] > 0.5)), count(np.flatnonzero(y[:, j] <= 0.5))
                 dull &= (yes <= ALIKE * no) & (no <= ALIKE * yes)
+            # Words of one or two examples can't be learned from; where examples are few, all are taken.
+            dull |= np.bincount(np.concatenate(index), minlength=buckets) < min(RARE, 1 + len(index) // 100)
         index = [i[~dull[i]] for i in index]
         fold = np.arange(len(index)) % folds
         earlier = np.zeros((len(index), 0))
