@@ -230,7 +230,17 @@ def _ranked(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def _row(section: str, pos: Column, line: Column) -> list[Column]:
-    return [F.lit(section).alias("section"), pos.cast("string").alias("pos"), redact.scrub(line).alias("line")]
+    return [F.lit(section).alias("section"), pos.cast("string").alias("pos"), line.alias("line")]
+
+
+def _scrubbed(lines: DataFrame) -> DataFrame:
+    """Lines with credentials redacted, in one place behind the union: as expressions the patterns would be planned anew for each section."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(line=[x and plain.scrub(x) for x in pdf["line"]])
+
+    return lines.mapInPandas(run, "section string, pos string, line string")
 
 
 def _code(col: Column) -> Column:
@@ -320,7 +330,7 @@ def index_lines(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     out = index
     for part in (table_rows, route_more, route_rows, env_more, env_rows, deploy_rows, material_rows, impact_rows, table_detail, file_detail):
         out = out.unionByName(part)
-    return out
+    return _scrubbed(out)
 
 
 TITLES = {"index": "Quick Index", "tables": "Data model", "routes": "API surface", "settings": "Configuration", "deployment": "Deployment", "material": "Stored material (not source)", "impact": "Impact", "detail": "Full Detail"}
