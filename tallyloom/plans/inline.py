@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import sqlite3
 import struct
 import tarfile
@@ -55,6 +56,11 @@ def listed(columns: tuple[str, ...]) -> Callable[[Query], Query]:
     return add
 
 
+def _mounted(path: str) -> str:
+    """A path of the shared folder as this process sees it; these queries write small inputs there, so it has to be a mounted one."""
+    return re.sub("^file:/+", "/", path)
+
+
 def files(spark: SparkSession, named: dict[str, str | bytes]) -> DataFrame:
     rows = [(p, bytearray(c if isinstance(c, bytes) else c.encode())) for p, c in named.items()]
     return spark.createDataFrame(rows, "path string, content binary")
@@ -348,7 +354,7 @@ def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree on disk through the file source: hidden files and nested checkouts are listed, keys and large files never opened."""
     named = {".env": "A_NAME=1", "src/a.py": "x = 1\n", ".github/b.yml": "on: x", "inner/.git/HEAD": "x", "inner/deep/z.py": "x = 1", "key.pem": "secret", "node_modules/p/.git/x": "", "node_modules/p/m.js": "", "big.txt": "x" * 60}
-    root = fresh_path(spark, "tree").removeprefix("file://")
+    root = _mounted(fresh_path(spark, "tree"))
     for path, said in named.items():
         os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
         with open(f"{root}/{path}", "w") as f:
@@ -464,7 +470,7 @@ def session_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @listed(("name", "title"))
 def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown files of a folder as a table."""
-    folder = fresh_path(spark, "documents").removeprefix("file://")
+    folder = _mounted(fresh_path(spark, "documents"))
     os.makedirs(folder)
     for name, said in {"a.md": b"# First\ntext", "b.md": b"bad \xff byte", "c.txt": b"# no"}.items():
         with open(f"{folder}/{name}", "wb") as f:
