@@ -28,7 +28,7 @@ from .linear import WORD, Hasher, Linear, best_threshold, sigmoid
 
 TRAIN_DOCS = 6_000
 BUCKETS = 1 << 18
-FOLDS = 3
+FOLDS = 5
 #: Strength of the penalty that sets weights to zero.
 SPARSITY = 4.0
 #: Words in more than this share of the examples tell nothing, since a long text has all of them, unless one class has them ALIKE times as often as the other.
