@@ -15,14 +15,17 @@ Scale. One shuffle by conversation, then a stream over sorted turns. A rendering
 that grows beyond `segment_chars` is encoded and passed on at the next end of a
 turn as another segment of its conversation, which bounds memory without
 changing any token (marks divide the encoding), so that even a conversation
-that holds a third of all turns flows through its task.
+that holds a third of all turns flows through its task. What reads the output row
+by row may run in the operator's own Python worker (`then`), so that a task has
+one worker, and a worker loads the tokenizer once for all its tasks.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,7 +35,7 @@ from .common import in_batches, pick, rows
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
-SEGMENT_CHARS = 1_000_000
+SEGMENT_CHARS = 250_000
 TURNS = re.compile(r"<\|turn\|>(.*?)<\|says\|>(.*?)<\|end\|>", re.S)
 
 
@@ -77,6 +80,12 @@ class Encoder:
         return np.array(found.ids, np.int32), spans[:, 0], spans[:, 1]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The Encoder of a path, one for all tasks that a Python worker runs one after another."""
+    return Encoder(path)
+
+
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, str]], loss_role: str = "assistant") -> np.ndarray:
     """1 for each token that meets a text of loss_role: token spans and turn spans are sorted, so two binary searches per turn."""
     mask = np.zeros(len(starts), np.int8)
@@ -97,13 +106,15 @@ def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.n
     return unescape("".join(formatted[a:b] for a, b in zip(begin, end, strict=True)))
 
 
-def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokenizer: str = TOKENIZER, loss_role: str = "assistant", segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokenizer: str = TOKENIZER, loss_role: str = "assistant", segment_chars: int = SEGMENT_CHARS, then: tuple[Callable[[Iterator], Iterator], str] | None = None) -> DataFrame:
     """(conv_id, segment, formatted, token_ids, token_starts, token_ends, loss_mask), sorted by conversation within partitions.
 
     A conversation's segments, in order, make up its whole rendering; most have
     one. Turns are ordered by turn, nulls first; equal turns by role and text. A
     null text or role is empty, a null conv_id is a conversation of its own.
-    Repeated turns are kept. No turns give no rows.
+    Repeated turns are kept. No turns give no rows. With `then`, a map over Arrow
+    batches and the schema of what it makes, those rows are read by it in the same
+    worker and its own are returned.
     """
 
     def run(batches) -> Iterator:
@@ -111,13 +122,10 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
         ints = pa.list_(pa.int32())
         schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("formatted", pa.string()), ("token_ids", ints), ("token_starts", ints), ("token_ends", ints), ("loss_mask", pa.list_(pa.int8()))])
-        encoder = None
 
         def done(conv, segment, held):
-            nonlocal encoder
-            encoder = encoder or Encoder(tokenizer)
             text, spans = render(held)
-            ids, starts, ends = encoder.encode(text)
+            ids, starts, ends = encoder_of(tokenizer).encode(text)
             return conv, segment, text, ids, starts, ends, loss_mask(starts, ends, spans, loss_role)
 
         def segments():
@@ -137,6 +145,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     slim = pick(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col).withColumn("conv_id", F.col("conv_id").cast("long"))
     ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     out = "conv_id long, segment long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<tinyint>"
+    if then:
+        read, out = then
+        return ordered.mapInArrow(lambda batches: read(run(batches)), out)
     return ordered.mapInArrow(run, out)
 
 
@@ -151,31 +162,36 @@ def with_lists(batches) -> Iterator[tuple]:
         yield from zip(column("conv_id").to_pylist(), column("segment").to_pylist(), column("formatted").to_pylist(), *lists, strict=True)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
+#: What digest_batches makes of formatted conversations.
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def digest_batches(batches: Iterator) -> Iterator:
     """One row per conversation, read back from the rows of format_conversations as they come."""
+    import pyarrow as pa
+
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+    def items():
+        conv = state = None
+        for c, segment, text, starts, ends, mask in with_lists(batches):
+            if segment == 0:
+                if state:
+                    yield (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+                conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            for role, said in parse(text):
+                state[0] += 1
+                state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            under = masked_text(text, starts, ends, mask)
+            state[2] += len(under)
+            state[3].update(under.encode("utf-8", "surrogatepass"))
+            state[4] += len(text)
+        if state:
+            yield (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+
+    yield from in_batches(schema, items(), 20_000)
 
-    def run(batches):
-        import pyarrow as pa
 
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-
-        def items():
-            conv = state = None
-            for c, segment, text, starts, ends, mask in with_lists(batches):
-                if segment == 0:
-                    if state:
-                        yield (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in parse(text):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                under = masked_text(text, starts, ends, mask)
-                state[2] += len(under)
-                state[3].update(under.encode("utf-8", "surrogatepass"))
-                state[4] += len(text)
-            if state:
-                yield (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
-
-        yield from in_batches(schema, items(), 20_000)
-
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def digests(formatted: DataFrame) -> DataFrame:
+    """digest_batches over the rows of format_conversations."""
+    return formatted.mapInArrow(digest_batches, DIGESTS)

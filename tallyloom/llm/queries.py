@@ -58,7 +58,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+    return chat.format_conversations(turns.unionByName(extra), then=(chat.digest_batches, chat.DIGESTS))
 
 
 def _escaped(column: str) -> str:

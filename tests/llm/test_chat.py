@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tallyloom.llm import chat, queries
+from tallyloom.llm import chat, common, queries
 
 PIECES = ["\\", "<", "|", "<|end|>", "<|turn|>", "<|says|>", " ", "\n", "é", "中", "\U0001f600", "ab", "<|endoftext|>", "  ", "assistant", "\x00", "\\<|"]
 
@@ -59,6 +59,25 @@ def test_segments_encode_as_the_whole(spark):
     assert ids[0] == ids[1]
 
 
+def test_one_worker_a_task_and_one_tokenizer_a_worker(spark, sf_dir):
+    """Two workers with a tokenizer of their own for each task took more than an executor's memory."""
+    plan = queries.op5_chat_format(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert chat.encoder_of(chat.TOKENIZER) is chat.encoder_of(chat.TOKENIZER)
+    turns = [(c, n, "assistant" if n % 2 else "user", f"some words {n}, and more. ") for c in (None, 1, 2) for n in range(9)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    within = chat.format_conversations(table, segment_chars=60, then=(chat.digest_batches, chat.DIGESTS))
+    assert sorted(map(repr, within.collect())) == sorted(map(repr, chat.digests(chat.format_conversations(table)).collect()))
+
+
+def test_batches_end_early_for_long_arrays():
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("a", pa.list_(pa.int32()))])
+    assert [b.num_rows for b in common.in_batches(schema, ((np.zeros(60, np.int32),) for _ in range(5)), 100, 100)] == [2, 2, 1]
+
+
 def test_edge_cases(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
