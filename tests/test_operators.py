@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tallyloom.operators import graph, notices, relational, sequences, similarity, stores
+from tallyloom.operators import graph, meetings, notices, relational, sequences, similarity, stores
 from tallyloom.streaming import watch
 
 
@@ -95,6 +97,40 @@ def test_similar_pairs_are_those_of_brute_force(spark):
     assert similarity.similar_pairs(spark.createDataFrame([], "id int, t array<string>"), "id", "t").count() == 0
 
 
+def test_meetings_lose_no_pair():
+    """Every pair that brute force finds is met, over sizes, thresholds and keys that tokens share."""
+    rng = random.Random(7)
+    for least in (0.55, 0.8, 0.3):
+        base = [sorted(rng.sample(range(400), rng.choice([1, 2, 5, 9, 30, 80, 150]))) for _ in range(40)]
+        sets = [set(b) - set(rng.sample(b, len(b) * k // 6)) | set(rng.sample(range(400), k * len(b) // 12)) for b in base for k in range(5)]
+        sets = [np.array(sorted(x // 2 if x % 7 == 0 else x for x in s), np.uint32) for s in sets if s]
+        n = np.array([len(s) for s in sets])
+        keys = [s[:p] for s, p in zip(sets, meetings.prefix_length(n, least), strict=True)]
+        cell = meetings.Cell(n, np.append(0, np.cumsum([len(k) for k in keys])), np.concatenate(keys), least)
+        both = lambda i, j: sum((collections.Counter(sets[i].tolist()) & collections.Counter(sets[j].tolist())).values())
+        want = {(j, i) for i in range(len(n)) for j in range(i) if both(i, j) / (n[i] + n[j] - both(i, j)) >= least}
+        found = [(min(p), max(p)) for a, b in cell.pairs(np.arange(len(n))) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert want <= set(found) and len(found) == len(set(found)) and len(want) > 50
+        half = np.arange(len(n)) % 2 == 0
+        across = {(min(p), max(p)) for a, b in cell.pairs(np.flatnonzero(half), np.flatnonzero(~half)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert {(i, j) for i, j in want if half[i] != half[j]} <= across
+
+
+def test_candidates_are_few_where_words_are_few(spark, monkeypatch):
+    """Sets of few words meet in cells, without a row for each meeting: hardly more pairs come out than are similar."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    sets = [(i, sorted(rng.sample(words, 60))) for i in range(600)]
+    sets += [(1000 + i, sorted(set(t[:50]) | {f"new{i}"})) for i, t in sets[:40]]
+    want = {(i, 1000 + i) for i in range(40)}
+    monkeypatch.setattr(similarity, "CELL_SETS", 100)  # several parts of a class
+    rows = similarity.token_sets(spark.createDataFrame(sets, "key int, t array<string>"), "t", "key")
+    key = {r.id: r.key for r in rows.collect()}
+    met = [tuple(sorted((key[r.x], key[r.y]))) for r in similarity.candidates(rows, ["key"], 0.55).collect()]
+    assert want <= set(met) and len(met) == len(set(met)) < 80
+    assert {(r.a, r.b) for r in similarity.similar_pairs(spark.createDataFrame(sets, "id int, t array<string>"), "id", "t").collect()} == want
+
+
 def test_families_depend_on_their_founders(spark):
     base = [f"t{i}" for i in range(20)]
     log = [("g", 1, base, "a"), ("g", 2, base[:14], "b"), ("g", 3, base[:9], "c"), ("g", 4, base[9:], "d"), ("h", 5, base, "e")]
