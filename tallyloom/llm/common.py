@@ -39,7 +39,7 @@ def rows(batches: Iterator, *names: str) -> Iterator[tuple]:
 
 
 def in_batches(schema, items: Iterator[tuple], size: int = 2000, max_chars: int = 8_000_000) -> Iterator:
-    """Arrow batches from tuples; a batch is closed early once its strings and arrays add up to max_chars."""
+    """Arrow batches from tuples; a batch is closed early once its strings, bytes and arrays add up to max_chars."""
     import numpy as np
     import pyarrow as pa
 
@@ -52,7 +52,7 @@ def in_batches(schema, items: Iterator[tuple], size: int = 2000, max_chars: int
 
     for item in items:
         held.append(item)
-        chars += sum(len(x) for x in item if isinstance(x, str | np.ndarray))
+        chars += sum(len(x) for x in item if isinstance(x, str | bytes | np.ndarray))
         if len(held) >= size or chars >= max_chars:
             yield flush()
             held, chars = [], 0

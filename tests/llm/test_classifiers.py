@@ -109,6 +109,75 @@ def test_quality_query_against_plain_expectation_maximisation(spark, sf_dir):
     assert sum((got[d].quality > 0.5) == (want[d] > 0.5) for d in text) >= 0.95 * len(text)
 
 
+def test_threshold_by_counts_and_descent_to_the_minimum():
+    rng = np.random.default_rng(4)
+    p, y = rng.random(300).round(1), (rng.random(300) < 0.3).astype(float)
+    known, at = np.unique(p, return_inverse=True)
+    assert linear.best_threshold(known, np.bincount(at, y), np.bincount(at)) == linear.best_threshold(p, y)
+    x = (rng.random((200, 12)) < 0.4).astype(float)
+    goal = linear.sigmoid(x @ rng.normal(size=12) * 2)
+    model = linear.Descent(x.T @ x.sum(axis=1) / 4, 1.0)
+    slope = lambda w: x.T @ (linear.sigmoid(x @ w) - goal)
+    for _ in range(40):
+        m = x @ model.x
+        model.tell(float((np.logaddexp(0, m) - goal * m).sum()), slope(model.x))
+    assert np.abs(slope(model.at) + model.at).max() < 1e-4
+
+
+def test_packed_features_come_back():
+    import pyarrow as pa
+
+    rng, buckets = np.random.default_rng(5), 1 << 18
+    index = [np.sort(rng.choice(buckets, n, replace=False)) for n in (9, 300, 20, 1)] + [np.arange(65_536, 200_000), np.array([0, 65_535, 65_536, buckets - 1])]
+    for column in (pa.array([quality.packed(i, buckets) for i in index]), pa.array([b"x", *[quality.packed(i, buckets) for i in index]])[1:]):
+        got = [i for _, _, x, n in quality.unpacked(column, buckets) for i in np.split(x, np.cumsum(n)[:-1])]
+        assert len(got) == len(index) and all((a == b).all() for a, b in zip(got, index, strict=True))
+
+
+def test_sums_are_those_of_loops_however_rows_are_dealt(spark, monkeypatch):
+    """Loss and gradient count every row, a third of which is one text, in one leaf or several."""
+    monkeypatch.setattr(quality, "CHUNK", 500)
+    rng, buckets = random.Random(16), 1 << 10
+    hot = prose(rng, 30)
+    docs = documents(spark, [(i, hot if i % 3 == 0 else prose(rng, 1 + i % 40), "en", "a") for i in range(300)])
+    seen = quality.described(docs, "doc_id", "text", buckets).cache()
+    kept, hasher = {r.doc_id: r for r in seen.collect()}, linear.Hasher(buckets)
+    assert len({kept[i].half for i in range(0, 300, 3)}) == 1 and {r.half for r in kept.values()} == {0, 1}
+    posterior = np.random.default_rng(6).random(3 ** len(quality.LABELLERS))
+    w = linear.snapped(np.random.default_rng(7).normal(size=(3, buckets + 1)) / 10)
+    want, lengths = np.zeros((3, buckets + 2)), np.zeros((3, buckets + 2))
+    for r in docs.select("doc_id", "text").collect():
+        own, m = quality.features(hasher, r.text, quality.measures(r.text)), kept[r.doc_id]
+        y = posterior[quality.code(quality.votes(quality.measures(r.text)))]
+        for k in range(3):
+            if k == 0 or m.half != k - 1:
+                at = w[k][own].sum() + w[k][-1]
+                off = 1 / (1 + np.exp(-at)) - y
+                want[k][own] += off
+                want[k][-2:] += off, np.log1p(np.exp(at)) - y * at
+                lengths[k][own] += len(own) + 1
+    got = [quality.sums(d, posterior, w, leaves, buckets) for d, leaves in ((seen, 1), (seen, 3), (seen.repartition(5, "doc_id"), 2))]
+    assert np.abs(got[0] - want).max() < 1e-3 and all((g == got[0]).all() for g in got)
+    assert (quality.sums(seen, posterior, None, 2, buckets)[:, :buckets] == lengths[:, :buckets]).all()
+
+
+def test_threshold_is_the_best_for_all_documents(spark, sf_dir, monkeypatch):
+    """More distinct texts than any sample that was taken: each document's score counts, by the model of the texts of the other half."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    used, models, best, unseen = [], [], quality.best_threshold, getattr(quality, "unseen", None)
+    monkeypatch.setattr(quality, "best_threshold", lambda p, y, *n: (used.append(n[0].sum() if n else len(p)), best(p, y, *n))[1])
+    monkeypatch.setattr(quality, "unseen", lambda seen, posterior, w, buckets: (models.append(w), unseen(seen, posterior, w, buckets))[1], raising=False)
+    scorer = quality.fit(docs)
+    assert used == [docs.count()] and docs.select("text").distinct().count() > 9_000
+    hasher, p, y = linear.Hasher(quality.BUCKETS), [], []
+    for r in docs.select("text", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).alias("half")).collect():
+        m = quality.measures(r.text or "")
+        w = models[0][1 + r.half]
+        p.append(1 / (1 + np.exp(np.clip(w[quality.features(hasher, r.text or "", m)].sum() + w[-1], -35, 35))))
+        y.append(float(scorer.labels.posterior(quality.code(quality.votes(m))) < 0.5))
+    assert abs(1 - best(np.array(p), np.array(y)) - scorer.threshold) < 1e-9
+
+
 def test_measures_of_runs_by_counting_them():
     rng = random.Random(15)
     for n in (3, 18, 19, 40, 400):
